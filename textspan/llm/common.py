@@ -54,23 +54,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, found by exact name first: tables may have extra columns, also ones
-    whose names differ in case only."""
-    return df.select(*(column(df, n) for n in names))
-
-
-def column(df: DataFrame, name: str) -> Column:
-    """The column of exactly this name, even beside names that differ in case only."""
-    exact = [i for i, c in enumerate(df.columns) if c == name]
-    if len(exact) != 1 or sum(c.lower() == name.lower() for c in df.columns) > 1:
-        if not exact:
-            raise ValueError(f"no column {name} in {df.columns}")
-        spread = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-        raise ValueError(f"column {name} is ambiguous; pass unambiguous(df): {spread.columns}")
-    return F.col(f"`{name}`")
-
-
 def unambiguous(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns of a table which may hold clashing names; the first exact match counts,
     then the first that differs in case only."""

@@ -279,5 +279,8 @@ def op1(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame, near: Near = SIMILAR) -> DataFrame:
     """docs with one document left of each component: the one with the smallest doc_id. Rows with
     a null doc_id can't be told apart and stay. Of rows that share a doc_id all stay or go."""
-    kept = classes(docs, near).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi")
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    key = f"c{names.index('doc_id') if 'doc_id' in names else [c.lower() for c in names].index('doc_id')}"
+    kept = classes(docs, near).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    return plain.join(kept, plain[key].eqNullSafe(kept["kept"]), "left_semi").toDF(*names)
