@@ -48,8 +48,8 @@ FROM d LEFT JOIN t USING (rid) LEFT JOIN x USING (rid)
     "op10_quality_ledger": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
-         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM documents
 ), s AS (
   SELECT rid, u.i AS i, array_to_string(list_slice(w, u.i, u.i + 4), ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS u(i)
