@@ -93,7 +93,8 @@ def removals(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     bodies = found.groupBy("name", "body").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
     repeated = bodies.groupBy("name").agg(F.count("*").alias("kinds"), F.first("first").alias("first"), F.max("n").alias("n"))
     repeated = table(repeated.where("kinds = 1 and n > 1").select("name", "first"), "repeated-chunks")
-    again = found.select("doc_id", "at", "name").join(repeated, "name")
+    # as many as chunks repeat: not a size to broadcast
+    again = found.select("doc_id", "at", "name").join(repeated.hint("merge"), "name")
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
     return again.where(later).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "name"))).alias("gone"))
 
@@ -106,7 +107,7 @@ def cleaned(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     key, text = (f"c{names.index(n) if n in names else lower.index(n)}" for n in ("doc_id", "text"))
     gone = table(removals(docs, cuts), "removals").withColumnRenamed("doc_id", "__id")
     columns = plain.columns
-    joined = plain.join(gone, plain[key].eqNullSafe(gone["__id"]), "left").drop("__id")
+    joined = plain.join(gone.hint("merge"), plain[key].eqNullSafe(gone["__id"]), "left").drop("__id")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         kept, total, removed = [], [], []
