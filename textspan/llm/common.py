@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BLANKS = "\\x20\\x09-\\x0D"
 #: Rows a Python worker looks at together; keeps a batch of very long texts small.
 SLICE = 512
+#: Bytes of such a slice, about.
+SLICE_BYTES = 32 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,13 +65,14 @@ def unambiguous(df: DataFrame, *names: str) -> DataFrame:
     return spread.select(*(F.col(f"__{i}").alias(n) for i, n in zip(at, names, strict=True)))
 
 
-def by_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Map Arrow batches in slices of bounded row count, so that memory follows a slice."""
+def by_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE) -> DataFrame:
+    """Map Arrow batches in slices of bounded row count and bytes, so that memory follows a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                out = work(batch.slice(at, SLICE))
+            step = max(1, min(rows, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1)))
+            for at in range(0, batch.num_rows, step):
+                out = work(batch.slice(at, step))
                 if out is not None and out.num_rows:
                     yield out
 

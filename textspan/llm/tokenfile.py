@@ -13,7 +13,7 @@ leaves nothing half done: a row is written as raw bytes and the row separator is
 record, the end id 01 00 of a document and the two highest bytes 00 00 of a start below 2**48.
 
 Null text counts as empty (the end id alone). A null doc_id is written as the least int64 and
-comes first. Rows with equal doc_id lie next to each other, ordered by their ids. An empty table
+comes first. Rows with equal doc_id lie next to each other, ordered by a hash of their ids. An empty table
 gives an empty result and an index without files.
 """
 
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,49 +34,101 @@ END_ID = 1
 NO_ID = -(1 << 63)
 #: Bytes of ids that a shard should hold.
 SHARD_BYTES = 4 << 20
-#: Blank-separated words whose ids a worker keeps at most.
-KEPT = 300_000
+#: Texts whose words are made distinct together.
+TOGETHER = 8192
+#: Bare words whose ids a worker keeps, about.
+KEPT = 400_000
 RECORD = np.dtype([("doc_id", "<i8"), ("start", "<u8")])
 
 
-class Words(dict):
-    """Ids of blank-separated words as bytes. This vocabulary drops white space and no match of its
-    pattern or normaliser reaches across it, so a text's ids are its words' ids in a row."""
+class Words:
+    """Ids of whole texts by way of their distinct words, as bytes.
+
+    This vocabulary drops white space and no match of its pattern or normaliser reaches across it, so
+    a text's ids are its blank-separated words' ids in a row. A word of Latin letters (one match)
+    has the ids of its lower case, and one of ``.,;:!?`` behind it is a match of its own; every other
+    word is given to the library as it stands. Words are split, made distinct and put back by Arrow;
+    the library sees each bare word once, many in one text: the last id of a match ends a word."""
+
+    LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def encode(self, text: str) -> bytes:
-        words = text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" ")
-        new = list({w for w in words if w not in self})
-        if new:
-            if len(self) > KEPT:
-                self.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u2").tobytes()
-        return b"".join([self[w] for w in words])
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.known: dict[str, bytes] = {}
+        self.marks = pa.array([b"", *self._each(list(self.MARKS))], pa.binary())
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _bare(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are one match each."""
+        if len(self.known) > KEPT:
+            self.known.clear()
+        new = [w for w in words if w not in self.known]
+        for at in range(0, len(new), 50_000):
+            some = new[at : at + 50_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("a vocabulary without word ends")
+            raw, starts = ids.tobytes(), [0, *(2 * ends[:-1]).tolist()]
+            self.known.update(zip(some, [raw[a:b] for a, b in zip(starts, (2 * ends).tolist(), strict=True)], strict=True))
+        return [self.known[w] for w in words]
+
+    def _distinct(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct words."""
+        marked = pc.match_substring_regex(words, f"^{self.LETTER}+[{self.MARKS}]$")
+        simple = pc.or_(marked, pc.match_substring_regex(words, f"^{self.LETTER}+$"))
+        some = words.filter(simple)
+        tail = pc.utf8_slice_codeunits(some, -1)
+        mark = pc.fill_null(pc.index_in(tail, pa.array(list(self.MARKS))), -1)
+        bare = pc.utf8_lower(pc.replace_substring_regex(some, f"[{self.MARKS}]$", "")).dictionary_encode()
+        ids = pa.array(self._bare(bare.dictionary.to_pylist()), pa.binary()).take(bare.indices)
+        ids = pc.binary_join_element_wise(ids, self.marks.take(pc.add(mark, 1)), b"")
+        other = pa.array(self._each(words.filter(pc.invert(simple)).to_pylist()), pa.binary())
+        place = np.empty(len(words), np.int64)
+        chosen = simple.to_numpy(zero_copy_only=False)
+        place[chosen], place[~chosen] = np.arange(len(ids)), len(ids) + np.arange(len(other))
+        return pa.concat_arrays([ids, other]).take(pa.array(place))
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text; none for null."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        if not len(words):
+            return pa.array([b""] * len(texts), pa.binary())
+        ids = self._distinct(words.dictionary).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)
+        offsets = np.asarray(split.offsets) - split.offsets[0].as_py()
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends[offsets].astype(np.int32)), ids.buffers()[2]])
+
+
+#: One for each vocabulary in a worker process, which serves many tasks.
+_HELD: dict[str, Words] = {}
 
 
 def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids binary without the end id, n with it)."""
-    held: list[Words] = []
-
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
+        from textspan.llm import tokenfile
+
+        at = path
+        if at is None:
             import public_tokenizers
 
-            held.append(Words(path or public_tokenizers.path("word_bpe_49k.json")))
-        ids = [held[0].encode(t) if t else b"" for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(i) // 2 + 1 for i in ids], pa.int64())], ["doc_id", "ids", "n"]
-        )
+            at = public_tokenizers.path("word_bpe_49k.json")
+        words = tokenfile._HELD.get(at) or tokenfile._HELD.setdefault(at, Words(at))
+        ids = words.encode(batch.column("text"))
+        n = pc.add(pc.divide(pc.binary_length(ids), 2), 1).cast(pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, n], ["doc_id", "ids", "n"])
 
     rows = unambiguous(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return by_arrow(rows, work, "doc_id long, ids binary, n long")
+    return by_arrow(rows, work, "doc_id long, ids binary, n long", TOGETHER)
 
 
 def _little(number: str):
@@ -96,14 +149,15 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     cut = spark.createDataFrame([(bounds,)], "bounds array<long>")
     # position among the bounds by their array: count of bounds below
     sharded = rows.crossJoin(F.broadcast(cut)).withColumn("shard", F.expr("size(filter(bounds, b -> b < doc_id))")).drop("bounds")
+    sharded = sharded.withColumn("h", F.xxhash64("ids"))
     totals = sharded.groupBy("shard").agg(F.sum("n").alias("total"))
     base = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")
     bases = totals.select("shard", base.alias("base"))  # a row for each shard: small by SHARD_BYTES
     width = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    sorted_rows = sharded.repartition(width, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    sorted_rows = sharded.repartition(width, "shard").sortWithinPartitions("shard", "doc_id", "h", "n")
     sorted_rows.select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\x01\x00").text(f"{folder}/ids")
-    order = Window.partitionBy("shard").orderBy("doc_id", "ids")
-    starts = sharded.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    order = Window.partitionBy("shard").orderBy("doc_id", "h", "n")
+    starts = sharded.drop("ids").withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     index = starts.join(F.broadcast(bases), "shard").select("shard", "doc_id", (F.col("base") + F.col("before")).alias("start"))
     record = F.concat(*_little("doc_id"), *_little("start")[:6])
     index.sortWithinPartitions("shard", "start").select("shard", record.cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\x00\x00").text(f"{folder}/index")
