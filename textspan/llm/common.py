@@ -38,24 +38,25 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/textspan/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark drops a query's shuffle files at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so that a lost executor costs
-    no more than the stages since. (Compressed columns, where checkpoint() keeps raw rows.)"""
+    no more than the stages since. (Compressed columns, where checkpoint() keeps raw rows.)
+    The shuffle files behind it are of no more use and go."""
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files of finished stages: Spark frees them when their
-    handles are collected, which an idle driver heap may put off for long."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def unambiguous(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns of a table which may hold clashing names; the first exact match counts,
     then the first that differs in case only."""

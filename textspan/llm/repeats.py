@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textspan.llm.common import release, table, unambiguous
+from textspan.llm.common import table, unambiguous
 
 NO_ID = (1 << 63) - 1
 _PLACE = 21
@@ -42,11 +42,11 @@ _LOW = np.uint64((1 << _PLACE) - 1)
 class Plan:
     length: int = 50
     sampled: int = 24
-    hot: int = 4096
+    hot: int = 2048
     pack: int = 4 << 20
-    part: int = 16 << 20
-    segment: int = 1 << 20
-    together: int = 40_000
+    part: int = 8 << 20
+    segment: int = 1 << 17
+    together: int = 20_000
 
     @property
     def left(self) -> int:
@@ -66,20 +66,21 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _u(29))
 
 
-def names_at(raw: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit name of the ``length`` bytes from each position on, by doubling."""
+def _words(raw: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each position on as a number."""
+    return np.ndarray(len(raw) - 7, "<u8", np.ascontiguousarray(raw).data, strides=(1,))
 
-    def joined(x: np.ndarray, y: np.ndarray, apart: int) -> np.ndarray:
-        n = len(y) - apart
-        z = y[apart:]
-        return x[:n] * _u(0xC2B2AE3D27D4EB4F) + (z ^ (z >> _u(29))) * _u(0x165667B19E3779F9)
 
-    now = (raw.astype(np.uint64) + _u(1 + 2 * seed)) * _u(0x9E3779B97F4A7C15)
-    have = 1
-    while 2 * have <= length:
-        now = joined(now, now, have)
-        have *= 2
-    return _mix(joined(now, now, length - have) if have < length else now)
+_ODD = np.random.default_rng(50).integers(0, 1 << 63, 32, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def names_at(raw: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit name of the ``length`` bytes (a multiple of 8) from each position on."""
+    words, n = _words(raw), len(raw) - length + 1
+    total = words[:n] * _ODD[0]
+    for j in range(1, length // 8):
+        total += words[8 * j : 8 * j + n] * _ODD[j]
+    return _mix(total)
 
 
 @dataclass
@@ -93,62 +94,68 @@ class Anchors:
     count: np.ndarray
 
 
-def anchors(raw: np.ndarray, ends: np.ndarray, plan: Plan) -> Iterator[Anchors]:
+def anchors(raw: np.ndarray, ends: np.ndarray, plan: Plan) -> Anchors:
     """Of a pack, segment by segment. ends: where each document ends."""
-    width, n = plan.length - plan.sampled + 1, len(raw)
+    width, n, found = plan.length - plan.sampled + 1, len(raw), []
+    whole = np.ones(n, bool)  # a string that starts here ends in its document
+    for b in ends.tolist():
+        whole[max(0, b - plan.length + 1) : b] = False
     for a in range(0, n - plan.length + 1, plan.segment):
         b = min(a + plan.segment, n - plan.length + 1)
         names = names_at(raw[a : b + plan.length - 1], plan.sampled)
-        low = (names & ~_LOW) | np.arange(len(names), dtype=np.uint64)
+        # another order than that of names, whose ranges are parts
+        low = (names * _ODD[31] & ~_LOW) | np.arange(len(names), dtype=np.uint64)
         have = 1
         while 2 * have <= width:
             low = np.minimum(low[:-have], low[have:])
             have *= 2
         if have < width:
             low = np.minimum(low[: len(low) - (width - have)], low[width - have :])
-        place = (low[: b - a] & _LOW).astype(np.int64)
-        start = np.arange(a, b)
-        inside = ends[np.searchsorted(ends, start, side="right")] - start >= plan.length
-        place, start = place[inside], start[inside]
-        if len(place):
-            change = np.flatnonzero(np.append(True, (np.diff(place) != 0) | (np.diff(start) != 1)))
-            yield Anchors(place[change] + a, names[place[change]], start[change], np.diff(np.append(change, len(place))))
+        place = (low[: b - a] & _LOW).astype(np.int32)
+        inside = whole[a:b]
+        new = np.append(True, (place[1:] != place[:-1]) | ~inside[:-1]) & inside
+        first = np.flatnonzero(new)
+        if len(first):
+            stop = np.flatnonzero(inside & np.append(new[1:] | ~inside[1:], True)) + 1
+            found.append((place[first] + np.int64(a), names[place[first]], first + a, stop - first))
+    if not found:
+        return Anchors(*(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64)))
+    return Anchors(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def _part_of(name: np.ndarray, parts: int) -> np.ndarray:
-    return ((name >> _u(40)) % _u(parts)).astype(np.int64)
+    """Parts are ranges of names."""
+    return ((name >> _u(40)) * _u(parts) >> _u(24)).astype(np.int64)
 
 
 def _documents(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, doc_ids, ends) of a pack."""
-    return np.frombuffer(row["text"], np.uint8), np.frombuffer(row["ids"], np.int64), np.cumsum(np.frombuffer(row["sizes"], np.int64))
+    text = np.frombuffer(pa.decompress(row["text"], row["length"], "zstd", asbytes=True), np.uint8)
+    return text, np.frombuffer(row["ids"], np.int64), np.cumsum(np.frombuffer(row["sizes"], np.int64))
 
 
 def _owners(ids: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ids[np.searchsorted(ends, at, side="right")]
 
 
-def _distinct(raw: np.ndarray, ids: np.ndarray, ends: np.ndarray, plan: Plan, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(part, names, count with the highest bit for several documents) of a pack's anchors."""
-    found = list(anchors(raw, ends, plan))
-    if not found:
-        return
-    name = np.concatenate([x.name for x in found])
-    owner = _owners(ids, ends, np.concatenate([x.place for x in found]))
-    part = _part_of(name, parts)
-    order = np.lexsort((owner, name, part))
-    name, owner, part = name[order], owner[order], part[order]
-    begins = np.flatnonzero(np.append(True, (np.diff(name) != 0) | (np.diff(part) != 0)))
-    last = np.append(begins[1:], len(name)) - 1
-    count = np.minimum(last - begins + 1, 0x7FFF).astype(np.uint16) | ((owner[begins] != owner[last]).astype(np.uint16) << np.uint16(15))
-    name, part = name[begins], part[begins]
-    cuts = np.flatnonzero(np.append(True, np.diff(part) != 0))
-    for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True):
-        yield int(part[a]), name[a:b], count[a:b]
+def _distinct(found: Anchors, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names in order, count with the highest bit for several documents) of a pack's anchors."""
+    order = np.argsort(found.name)
+    name, owner = found.name[order], np.searchsorted(ends, found.place, side="right")[order]
+    begins = np.flatnonzero(np.append(True, name[1:] != name[:-1]))
+    count = np.minimum(np.diff(np.append(begins, len(name))), 0x7FFF).astype(np.uint16)
+    several = np.minimum.reduceat(owner, begins) != np.maximum.reduceat(owner, begins)
+    return name[begins], count | (several.astype(np.uint16) << np.uint16(15))
+
+
+def _by_part(part: np.ndarray) -> list[tuple[int, slice]]:
+    """The stretches of a column of parts in order."""
+    cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    return [(int(part[a]), slice(int(a), int(b))) for a, b in zip(cuts, np.append(cuts[1:], len(part)), strict=True)]
 
 
 def packs(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(pack, ids, sizes, text): whole texts one after the other."""
+    """(pack, ids, sizes, length, text): whole texts one after the other, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -157,9 +164,11 @@ def packs(docs: DataFrame, plan: Plan) -> DataFrame:
 
         def row() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], np.int64)
-            return pa.RecordBatch.from_pydict({"pack": [base + seq], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()], "text": [b"".join(texts)]})
+            text = b"".join(texts)
+            small = pa.compress(text, "zstd", asbytes=True)
+            return pa.RecordBatch.from_pydict({"pack": [base + seq], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()], "length": [len(text)], "text": [small]})
 
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(NO_ID if d is None else d)
                 texts.append(t or b"")
@@ -171,7 +180,7 @@ def packs(docs: DataFrame, plan: Plan) -> DataFrame:
             yield row()
 
     few = unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return few.mapInArrow(run, "pack long, ids binary, sizes binary, text binary")
+    return few.mapInArrow(run, "pack long, ids binary, sizes binary, length long, text binary")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -185,9 +194,12 @@ def _round_one(packed: DataFrame, plan: Plan, parts: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            got = list(_distinct(*_documents(row), plan, parts))
-            if got:
-                blocks = [name.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + count.tobytes() for _, name, count in got]
+            raw, _, ends = _documents(row)
+            found = anchors(raw, ends, plan)
+            if len(found.name):
+                name, count = _distinct(found, ends)
+                short, got = name.view(np.uint8).reshape(-1, 8)[:, :6], _by_part(_part_of(name, parts))
+                blocks = [short[s].tobytes() + count[s].tobytes() for _, s in got]
                 yield pa.RecordBatch.from_pydict({"part": pa.array([g[0] for g in got], pa.int32()), "pack": pa.array([row["pack"]] * len(got), pa.int64()), "block": pa.array(blocks, pa.binary())})
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,32 +239,30 @@ def _round_one(packed: DataFrame, plan: Plan, parts: int) -> DataFrame:
 def _contexts(row: dict, flags: dict[int, np.ndarray], plan: Plan, parts: int) -> Iterator[tuple[int, bytes]]:
     """(part, block) of a pack: what round 2 needs of the anchors that are left."""
     raw, ids, ends = _documents(row)
+    found = anchors(raw, ends, plan)
+    # names and parts are in the same order, so the parts' flags in a row are those of all names
+    known, _ = _distinct(found, ends)
+    said = np.concatenate([flags[p] for p in sorted(flags)])
+    flag = said[np.searchsorted(known, found.name)]
+    out: dict[int, tuple[np.ndarray, ...]] = {}
+    plain = np.flatnonzero(flag == 1)
+    plain = plain[np.argsort(_part_of(found.name[plain], parts), kind="stable")]
+    place = found.place[plain]
+    fields = (place, found.first[plain] - place + plan.left, found.count[plain], _owners(ids, ends, place))
+    reach = np.arange(-plan.left, plan.length)
+    for p, s in _by_part(_part_of(found.name[plain], parts)) if len(plain) else []:
+        text = raw[np.clip(place[s][:, None] + reach, 0, len(raw) - 1)]
+        out[p] = (*(f[s] for f in fields), text)
     hot_name, hot_owner, hot_at = [], [], []
-    out: dict[int, list] = {}
-    known = {part: (names, flags[part]) for part, names, _ in _distinct(raw, ids, ends, plan, parts)}
-    for x in anchors(raw, ends, plan):
-        part = _part_of(x.name, parts)
-        flag = np.zeros(len(part), np.uint8)
-        for p in np.unique(part):
-            at = np.flatnonzero(part == p)
-            names, said = known[int(p)]
-            flag[at] = said[np.searchsorted(names, x.name[at])]
-        plain = np.flatnonzero(flag == 1)
-        if len(plain):
-            place = x.place[plain]
-            index = np.clip(place[:, None] + np.arange(-plan.left, plan.length), 0, len(raw) - 1)
-            fields = (part[plain], place, x.first[plain] - place + plan.left, x.count[plain], _owners(ids, ends, place), raw[index])
-            order = np.argsort(fields[0], kind="stable")
-            cuts = np.flatnonzero(np.append(True, np.diff(fields[0][order]) != 0))
-            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                out.setdefault(int(fields[0][order[a]]), []).append([f[order[a:b]] for f in fields[1:]])
-        hot = np.flatnonzero(flag == 3)
-        if len(hot):
-            at = np.repeat(x.first[hot], x.count[hot]) + np.arange(x.count[hot].sum()) - np.repeat(np.cumsum(x.count[hot]) - x.count[hot], x.count[hot])
-            text = raw[at[:, None] + np.arange(plan.length)]
-            hot_name.append(np.stack([_mix(_row_names(text, s)) for s in (1, 2)], axis=1))
-            hot_owner.append(_owners(ids, ends, at))
-            hot_at.append(at)
+    hot = np.flatnonzero(flag == 3)
+    for a in range(0, len(hot), 1 << 14):
+        some = hot[a : a + (1 << 14)]
+        n = found.count[some]
+        at = np.repeat(found.first[some], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text = raw[at[:, None] + np.arange(plan.length)]
+        hot_name.append(np.stack([_mix(_row_names(text, s)) for s in (1, 2)], axis=1))
+        hot_owner.append(_owners(ids, ends, at))
+        hot_at.append(at)
     split: dict[int, tuple[np.ndarray, ...]] = {}
     if hot_at:
         name, owner, at = np.concatenate(hot_name), np.concatenate(hot_owner), np.concatenate(hot_at)
@@ -268,11 +278,10 @@ def _contexts(row: dict, flags: dict[int, np.ndarray], plan: Plan, parts: int) -
             here = part == p
             split[int(p)] = (name[here & ask], owner[here & ask], at[here & ask], at[here & lose])
     for p in sorted({*out, *split}):
-        got = out.get(p, [])
-        place, offset, count, owner, text = (np.concatenate([g[i] for g in got]) if got else np.zeros((0, plan.reach) if i == 4 else 0, np.int64) for i in range(5))
+        place, offset, count, owner, text = out.get(p) or (*(np.zeros(0, np.int64),) * 4, np.zeros((0, plan.reach), np.uint8))
         name, hot_ids, hot_places, lost = split.get(p, (np.zeros((0, 2), np.uint64), *(np.zeros(0, np.int64),) * 3))
         head = np.array([len(place), len(hot_places), len(lost)], np.int64)
-        yield p, b"".join((
+        yield p, _pressed((
             head.tobytes(), place.astype(np.uint32).tobytes(), offset.astype(np.uint8).tobytes(), count.astype(np.uint8).tobytes(), owner.astype(np.int64).tobytes(),
             text.astype(np.uint8).tobytes(), name.astype(np.uint64).tobytes(), hot_ids.astype(np.int64).tobytes(), hot_places.astype(np.uint32).tobytes(), lost.astype(np.uint32).tobytes(),
         ))
@@ -287,8 +296,14 @@ def _row_names(text: np.ndarray, seed: int) -> np.ndarray:
     return total
 
 
+def _pressed(fields: tuple[bytes, ...]) -> bytes:
+    block = b"".join(fields)
+    return len(block).to_bytes(8, "little") + pa.compress(block, "zstd", asbytes=True)
+
+
 class _Block:
     def __init__(self, block: bytes, plan: Plan) -> None:
+        block = pa.decompress(block[8:], int.from_bytes(block[:8], "little"), "zstd", asbytes=True)
         n, hot, lost = np.frombuffer(block, np.int64, 3)
         at = 24
 
@@ -303,44 +318,89 @@ class _Block:
         self.name, self.hot_owner, self.hot_place, self.lost = take(np.uint64, 2 * hot).reshape(hot, 2), take(np.int64, hot), take(np.uint32, hot), take(np.uint32, lost)
 
 
-def _rank(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Dense ranks of pairs."""
-    order = np.lexsort((second, first))
-    change = np.append(False, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0))
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(change)
+def _dense(values: np.ndarray) -> np.ndarray:
+    """Ranks of numbers: equal ones share one."""
+    order = np.argsort(values)
+    ranked = values[order]
+    out = np.empty(len(values), np.int64)
+    out[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1])) if len(values) else 0
     return out
 
 
+def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Ranks of pairs of ranks."""
+    return _dense((first << 32) | second)
+
+
 def _several(rank: np.ndarray) -> np.ndarray:
     return np.bincount(rank, minlength=1)[rank] > 1
 
 
+def _steps(length: int) -> list[int]:
+    """Where the 8-byte words begin that cover ``length`` bytes."""
+    return [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+
+
+def _classes(rows: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    """Ranks of whole rows of bytes beside a number, by pairs of words."""
+    words, width = _words(np.append(rows.reshape(-1), np.zeros(8, np.uint8))), rows.shape[1]
+    at = np.arange(len(rows)) * width
+    ranks = [_dense(extra), *(_dense(words[at + s]) for s in _steps(width))]
+    while len(ranks) > 1:
+        ranks = [_pairs(*ranks[i : i + 2]) if i + 1 < len(ranks) else ranks[i] for i in range(0, len(ranks), 2)]
+    return ranks[0]
+
+
 def later(text: np.ndarray, row: np.ndarray, offset: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
     """Of the strings of ``length`` bytes at offset in text[row], those (numbers) that a string of
     a smaller owner equals: ranks of words, of pairs of words and so on, the unique dropped."""
-    flat = np.append(text.reshape(-1), np.zeros(8, np.uint8))
-    words = np.ndarray(len(flat) - 7, "<u8", flat.data, strides=(1,))
-    at, left = row * text.shape[1] + offset, np.arange(len(row))
-    steps = [*range(0, length - 7, 8)]
-    if steps[-1] != length - 8:
-        steps.append(length - 8)
-    ranks: list[np.ndarray] | None = None
-    while ranks is None or len(ranks) > 1:
-        if ranks is None:
-            ranks = [words[at + s] for s in steps]
-        first = _rank(ranks[0], ranks[1] if len(ranks) > 1 else ranks[0])
+    words = _words(np.append(text.reshape(-1), np.zeros(8, np.uint8)))
+    at, left, steps = row * text.shape[1] + offset, np.arange(len(row)), _steps(length)
+    # the first words' pairs for all, the rest for those that are left
+    first = _pairs(_dense(words[at + steps[0]]), _dense(words[at + steps[1]]))
+    keep = _several(first)
+    at, left = at[keep], left[keep]
+    ranks = [first[keep], *(_dense(words[at + s]) for s in steps[2:])]
+    while len(ranks) > 1 and len(left):
+        first = _pairs(ranks[0], ranks[1])
         keep = _several(first)
-        rest = [_rank(ranks[i][keep], ranks[min(i + 1, len(ranks) - 1)][keep]) for i in range(2, len(ranks), 2)]
+        rest = [_pairs(ranks[i][keep], ranks[i + 1][keep]) if i + 1 < len(ranks) else ranks[i][keep] for i in range(2, len(ranks), 2)]
         ranks, left = [first[keep], *rest], left[keep]
-        if not len(left):
-            return left
-    _, dense = np.unique(ranks[0], return_inverse=True)
+    if not len(left):
+        return left
+    dense = _dense(ranks[0])
     least = np.full(dense.max() + 1, NO_ID)
     np.minimum.at(least, dense, owner[left])
     return left[owner[left] > least[dense]]
 
 
+def removed(anchor: np.ndarray, text: np.ndarray, offset: np.ndarray, count: np.ndarray, owner: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """(row, offset) of the strings to remove among rows that hold whole groups of an anchor.
+
+    Rows that agree in all they hold are one class: in all but those of its smallest owner every
+    string is removed. What is left of an anchor with one class repeats nowhere before."""
+    ranks = _pairs(_dense(anchor), _classes(text, offset * 256 + count))
+    least = np.full(ranks.max() + 1, NO_ID)
+    np.minimum.at(least, ranks, owner)
+    gone = owner > least[ranks]
+    stand = np.flatnonzero(~gone)
+    several = _dense(anchor[stand])
+    # one row for a class is enough to compare; its owner's other rows share its lot
+    pair = np.zeros(several.max() + 1, np.int64)
+    kinds, one = np.unique(ranks[stand], return_index=True)
+    np.add.at(pair, several[one], 1)
+    open_rows = stand[pair[several] > 1]
+
+    def spread(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = count[rows]
+        return np.repeat(rows, n), np.repeat(offset[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    row, off = spread(open_rows)
+    lose = later(text, row, off, owner[row], plan.length) if len(row) else row
+    all_row, all_off = spread(np.flatnonzero(gone))
+    return np.append(all_row, row[lose]), np.append(all_off, off[lose])
+
+
 def _round_two(packed: DataFrame, flags: DataFrame, plan: Plan, parts: int) -> DataFrame:
     """(pack, starts binary, counts binary): runs of starts of strings to remove."""
 
@@ -364,8 +424,8 @@ def _round_two(packed: DataFrame, flags: DataFrame, plan: Plan, parts: int) -> D
             (np.full(len(b.lost), i), b.lost.astype(np.int64)) for i, b in enumerate(blocks)
         ]
         # whole groups of an anchor together, some groups at a time
-        anchor = _mix(names_at_rows(text[:, plan.left : plan.left + plan.sampled]))
-        order = np.argsort(anchor, kind="stable")
+        anchor = names_at(np.ascontiguousarray(text[:, plan.left : plan.left + plan.sampled]).reshape(-1), plan.sampled)[:: plan.sampled] if len(text) else np.zeros(0, np.uint64)
+        order = np.argsort(anchor)
         begins = np.flatnonzero(np.append(True, np.diff(anchor[order]) != 0)) if len(order) else np.zeros(0, np.int64)
         a = 0
         while a < len(order):
@@ -373,15 +433,11 @@ def _round_two(packed: DataFrame, flags: DataFrame, plan: Plan, parts: int) -> D
             b = int(more[0]) if len(more) else len(order)
             some = order[a:b]
             a = b
-            n = count[some].astype(np.int64)
-            row = np.repeat(np.arange(len(some)), n)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            off = np.repeat(offset[some].astype(np.int64), n) + step
-            gone = later(text[some], row, off, np.repeat(owner[some], n), plan.length)
-            found.append((packs_of[some][row[gone]], place[some].astype(np.int64)[row[gone]] - plan.left + off[gone]))
+            row, off = removed(anchor[some], text[some], offset[some].astype(np.int64), count[some].astype(np.int64), owner[some], plan)
+            found.append((packs_of[some][row], place[some].astype(np.int64)[row] - plan.left + off))
         if any(len(b.hot_place) for b in blocks):
             name, hot_owner = np.concatenate([b.name for b in blocks]), np.concatenate([b.hot_owner for b in blocks])
-            rank_of = _rank(name[:, 0], name[:, 1])
+            rank_of = _pairs(_dense(name[:, 0]), _dense(name[:, 1]))
             least = np.full(rank_of.max() + 1, NO_ID)
             np.minimum.at(least, rank_of, hot_owner)
             lose = hot_owner > least[rank_of]
@@ -400,32 +456,21 @@ def _round_two(packed: DataFrame, flags: DataFrame, plan: Plan, parts: int) -> D
     return sent.repartitionById(parts, F.col("part")).mapInArrow(rank, "pack long, starts binary, counts binary")
 
 
-def names_at_rows(text: np.ndarray) -> np.ndarray:
-    """One name for each row of 8-byte words (the length is a multiple of 8)."""
-    words = np.ascontiguousarray(text).view(np.uint64) if text.shape[1] % 8 == 0 and len(text) else np.zeros((len(text), 0), np.uint64)
-    total = np.zeros(len(text), np.uint64)
-    for j in range(words.shape[1]):
-        total = _mix(total * _u(0xC2B2AE3D27D4EB4F) + words[:, j])
-    return total
-
-
 def remove(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>> of removed bytes, kept binary)."""
     if plan.sampled % 8 or plan.length <= plan.sampled or plan.reach > 255 + plan.length:
         raise ValueError("sampled must be a multiple of 8 below length")
     spark = docs.sparkSession
     packed = table(packs(docs, plan), "packs")
-    total = packed.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = packed.agg(F.sum("length")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // plan.part))
-    release(spark)
     flags = table(_round_one(packed, plan, parts), "flags")
-    release(spark)
     runs = table(_round_two(packed, flags, plan, parts), "runs")
-    release(spark)
 
     def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         raw, ids, ends = _documents(row)
+        text = raw.tobytes()
         start = np.concatenate([np.frombuffer(x, np.uint32) for x in right.column("starts").to_pylist()] or [np.zeros(0, np.uint32)]).astype(np.int64)
         end = start + np.concatenate([np.frombuffer(x, np.uint32) for x in right.column("counts").to_pylist()] or [np.zeros(0, np.uint32)]) + plan.length - 1
         order = np.argsort(start, kind="stable")
@@ -441,9 +486,9 @@ def remove(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
             a = int(ends[i - 1]) if i else 0
             at, parts_left = a, []
             for x, y in s:
-                parts_left.append(row["text"][at:x])
+                parts_left.append(text[at:x])
                 at = y
-            parts_left.append(row["text"][at : int(b)])
+            parts_left.append(text[at : int(b)])
             kept.append(b"".join(parts_left))
             cuts.append([{"start": x - a, "end": y - a} for x, y in s])
         return pa.table({
