@@ -17,67 +17,71 @@ learned from (its crc32 is null) and held_out is false for it. Repeated rows giv
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from collections import defaultdict
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textspan.llm.common import by_arrow, unambiguous
+from textspan.llm.common import unambiguous
 
 UND = "und"
 #: Words are runs of letters; marks inside a word (combining characters) belong to it.
 WORD = r"\p{L}[\p{L}\p{M}]*"
 LONGEST = 5
 #: New words whose score a worker keeps at most.
-KEPT_SCORES = 200_000
+KEPT_SCORES = 150_000
 
 
-@dataclass
 class Model:
-    langs: list[str]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
-    unseen: float
-    cache: dict[str, tuple[float, ...]] = field(default_factory=dict)
-
-    def word(self, word: str) -> tuple[float, ...]:
-        known = self.words.get(word) or self.cache.get(word)
-        if known is None:
-            if len(self.cache) >= KEPT_SCORES:
-                self.cache.clear()
-            known = self.cache[word] = self._backoff(word)
-        return known
-
-    def _backoff(self, word: str) -> tuple[float, ...]:
-        marked, total, places = f"<{word}>", [0.0] * len(self.langs), 0
+    """Rows of log frequencies, one column for each language: known words first, then words that
+    texts brought, scored by backoff and kept up to a bound."""
+
+    def __init__(self, langs: list[str], words: dict[str, int], table: np.ndarray, grams: dict[str, int], gram_table: np.ndarray, unseen: float) -> None:
+        self.langs, self.grams, self.gram_table, self.unseen = langs, grams, gram_table, unseen
+        self.words, self.fixed = words, len(table)
+        self.table = np.concatenate([table, np.zeros((KEPT_SCORES, len(langs)))])
+        self.row, self.used = dict(words), self.fixed
+
+    @property
+    def parts(self) -> tuple:
+        return self.langs, self.words, self.table[: self.fixed], self.grams, self.gram_table, self.unseen
+
+    def _new(self, word: str) -> int:
+        """The row of a word seen for the first time; the caller sees to it that there is room."""
+        marked, rows, blind = f"<{word}>", [], 0
         for i in range(len(marked) - 1):
-            places += 1
             for n in range(min(LONGEST, len(marked) - i), 0, -1):
                 found = self.grams.get(marked[i : i + n])
-                if found:
-                    total = [t + f for t, f in zip(total, found, strict=True)]
+                if found is not None:
+                    rows.append(found)
                     break
             else:
-                total = [t + self.unseen for t in total]
-        return tuple(t / max(places, 1) for t in total)
+                blind += 1
+        self.table[self.used] = (self.gram_table[rows].sum(axis=0) + blind * self.unseen) / (len(rows) + blind)
+        self.row[word] = self.used
+        self.used += 1
+        return self.used - 1
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share of the posterior over the mean evidence of a word."""
         import regex
 
-        counts = Counter(regex.findall(WORD, (text or "").lower()))
-        n = sum(counts.values())
-        if not n or not self.langs:
+        words = regex.findall(WORD, (text or "").lower())
+        if not words or not self.langs:
             return UND, 0.0
-        totals = [0.0] * len(self.langs)
-        for word, c in counts.items():
-            for i, x in enumerate(self.word(word)):
-                totals[i] += c * x
-        means = [t / n for t in totals]
-        best = max(range(len(means)), key=lambda i: (means[i], -i))
-        return self.langs[best], 1.0 / sum(math.exp(m - means[best]) for m in means)
+        total, row = np.zeros(len(self.langs)), self.row
+        for at in range(0, len(words), KEPT_SCORES):
+            some = words[at : at + KEPT_SCORES]
+            if self.used + len(some) > len(self.table):
+                row = self.row = dict(self.words)
+                self.used = self.fixed
+            rows = [row[w] if w in row else self._new(w) for w in some]
+            total += self.table[rows].sum(axis=0)
+        means = total / len(words)
+        best = int(np.argmax(means))
+        return self.langs[best], float(1.0 / np.exp(means - means[best]).sum())
 
 
 def build(counts: list[tuple[str, str, int]]) -> Model:
@@ -85,9 +89,9 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
     langs = sorted({c[0] for c in counts})
     at = {x: i for i, x in enumerate(langs)}
 
-    def logs(table: dict[str, list[float]]) -> dict[str, tuple[float, ...]]:
-        totals = [sum(v[i] for v in table.values()) for i in range(len(langs))]
-        return {k: tuple(math.log((x + 0.5) / (t + 0.5 * (len(table) + 1))) for x, t in zip(v, totals, strict=True)) for k, v in table.items()}
+    def logs(counted: dict[str, list[float]]) -> np.ndarray:
+        found = np.array(list(counted.values()), float).reshape(len(counted), len(langs))
+        return np.log((found + 0.5) / (found.sum(axis=0) + 0.5 * (len(counted) + 1)))
 
     words: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(langs))
     by_length: list[dict[str, list[float]]] = [defaultdict(lambda: [0.0] * len(langs)) for _ in range(LONGEST + 1)]
@@ -97,11 +101,10 @@ def build(counts: list[tuple[str, str, int]]) -> Model:
         for k in range(1, LONGEST + 1):
             for i in range(len(marked) - k + 1):
                 by_length[k][marked[i : i + k]][at[lang]] += n
-    grams: dict[str, tuple[float, ...]] = {}
-    for k in range(1, LONGEST + 1):
-        # long n-grams seen once say little and make most of the table
-        grams |= logs({g: v for g, v in by_length[k].items() if k < 3 or sum(v) > 1})
-    return Model(langs, logs(dict(words)), grams, math.log(1e-6))
+    # long n-grams seen once say little and make most of the table
+    kept = [{g: v for g, v in by_length[k].items() if k < 3 or sum(v) > 1} for k in range(1, LONGEST + 1)]
+    names = [g for grams in kept for g in grams]
+    return Model(langs, {w: i for i, w in enumerate(words)}, logs(words), {g: i for i, g in enumerate(names)}, np.concatenate([logs(g) for g in kept]), math.log(1e-6))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -111,13 +114,15 @@ def held_out(doc_id: str = "doc_id"):
 def fit(docs: DataFrame, per_lang: int = 1000, top_words: int = 20_000, max_langs: int = 200) -> Model:
     rows = unambiguous(docs, "doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     ranked = rows.select("doc_id", "lang").withColumn("h", F.xxhash64("doc_id"))
+    langs = {r["lang"]: r["count"] for r in ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    if not langs:
+        return Model([], {}, np.zeros((0, 0)), {}, np.zeros((0, 0)), 0.0)
+    # hashes below a bound that leaves about twice the sample: what is ranked stays small
+    bound = F.element_at(F.create_map(*(F.lit(x) for k, n in langs.items() for x in (k, min(1.0, (2.0 * per_lang + 100) / n)))), F.col("lang"))
+    likely = ranked.where(F.col("lang").isin(list(langs))).where(F.pmod("h", F.lit(1 << 40)) < bound * (1 << 40))
     n = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    chosen = ranked.withColumn("n", n).where(F.col("n") <= per_lang).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang"))
+    chosen = likely.withColumn("n", n).where(F.col("n") <= per_lang).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
     # at most per_lang * max_langs ids: a proven size for the broadcast
-    langs = [r["lang"] for r in ranked.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not langs:
-        return Model([], {}, {}, 0.0)
-    chosen = chosen.where(F.col("__lang").isin(langs)).distinct()
     sample = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("__id")) & (F.col("lang") == F.col("__lang")), "left_semi")
     found = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("lang", "word").count()
     top = found.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word"))).where(F.col("n") <= top_words)
@@ -125,23 +130,19 @@ def fit(docs: DataFrame, per_lang: int = 1000, top_words: int = 20_000, max_lang
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (any columns) with lang_pred and score. The model is broadcast: its bounds are fit's."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.unseen))
+    """docs (any columns) with lang_pred and score. Texts alone go to Python. The model is broadcast:
+    its bounds are fit's."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts)
     held: list[Model] = []
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    @F.pandas_udf("lang_pred string, score double")
+    def call(texts: pd.Series) -> pd.DataFrame:
         if not held:
             held.append(Model(*shared.value))
-        found = [held[0].predict(t) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-            [*batch.schema.names, "lang_pred", "score"],
-        )
-
-    from pyspark.sql.types import DoubleType, StringType, StructType
+        return pd.DataFrame([held[0].predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())
-    return by_arrow(docs, work, schema)
+    found = docs.withColumn("__found", call.asNondeterministic()("text"))
+    return found.withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
 
 
 def op9(docs: DataFrame) -> DataFrame:
