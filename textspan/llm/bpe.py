@@ -28,7 +28,7 @@ from textspan.llm.common import by_arrow, unambiguous
 #: Characters of a leaf.
 LEAF = 1 << 14
 #: Pieces whose tokens a worker keeps at most.
-KEPT = 300_000
+KEPT = 150_000
 #: A contraction looks at three characters from its start on.
 LOOK = 3
 
@@ -170,9 +170,22 @@ def decode(rows: DataFrame, ranks_path: str | None = None, pattern: str | None =
     return by_arrow(rows.select("doc_id", "ids"), work, "doc_id long, ids binary, raw binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ids, raw): encode and decode by one worker, which holds one vocabulary."""
+    held: list[Codec] = []
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        codec = _codec(held, ranks_path, pattern)
+        ids = [codec.encode(t or "") for t in batch.column("text").to_pylist()]
+        raw = [codec.decode(i) for i in ids]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(raw, pa.binary())], ["doc_id", "ids", "raw"])
+
+    return by_arrow(unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, ids binary, raw binary")
+
+
 def op7(docs: DataFrame) -> DataFrame:
     """Digests of ids and of the bytes decoded from them."""
-    return decode(encode(docs)).select(
+    return round_trip(docs).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -145,5 +145,5 @@ def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
     at = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key = f"c{[c.lower() for c in names].index('doc_id')}"
     taken = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    out = at.join(taken, at[key].eqNullSafe(taken["doc_id"])).drop("doc_id")
+    out = at.join(taken.hint("merge"), at[key].eqNullSafe(taken["doc_id"])).drop("doc_id")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies").toDF(*names)

@@ -283,4 +283,4 @@ def dedup(docs: DataFrame, near: Near = SIMILAR) -> DataFrame:
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key = f"c{names.index('doc_id') if 'doc_id' in names else [c.lower() for c in names].index('doc_id')}"
     kept = classes(docs, near).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    return plain.join(kept, plain[key].eqNullSafe(kept["kept"]), "left_semi").toDF(*names)
+    return plain.join(kept.hint("merge"), plain[key].eqNullSafe(kept["kept"]), "left_semi").toDF(*names)
