@@ -99,11 +99,17 @@ def fingerprints(docs: DataFrame, near: Near = STRICT) -> DataFrame:
     return by_arrow(unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, fp binary")
 
 
+def _words(names: list[bytes], near: Near) -> np.ndarray:
+    """The fingerprints at the ends of names, a row of words each."""
+    width = 8 * -(-near.bits // 64)
+    return np.frombuffer(b"".join([x[-width:] for x in names]), np.uint64).reshape(len(names), -1)
+
+
 def _filed(nodes: DataFrame, near: Near) -> DataFrame:
-    """A row (key, fp) for each variant with one bit left out."""
+    """A row (key, fp) for each variant with one bit left out. fp is a name that ends in a fingerprint."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        raw = _words(batch.column("fp").to_pylist(), near)
         bits = np.unpackbits(raw.view(np.uint8), axis=1, bitorder="little")
         keys = []
         for s, (a, b) in enumerate(near.cuts):
@@ -146,15 +152,13 @@ def _forest(fps: np.ndarray, max_bits: int, halves: np.ndarray | None = None) ->
 def _edges(filed: DataFrame, near: Near, blocks: bool) -> DataFrame:
     """Rows sorted by key become (a, b, key, big): links of forests, or, without blocks, the
     members of a key that holds too many (a is the fingerprint, big is set)."""
-    width = -(-near.bits // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set[tuple[bytes, bytes]] = set()
 
-        def group(key: int, raw: list[np.ndarray], sides: list[np.ndarray]) -> Iterator[tuple]:
-            fps = np.concatenate(raw)
-            for i, j in _forest(fps, near.max_bits, np.concatenate(sides) if blocks and (key & 1) else None):
-                edge = tuple(sorted((fps[i].tobytes(), fps[j].tobytes())))
+        def group(key: int, names: list[bytes], sides: list[np.ndarray]) -> Iterator[tuple]:
+            for i, j in _forest(_words(names, near), near.max_bits, np.concatenate(sides) if blocks and (key & 1) else None):
+                edge = tuple(sorted((names[i], names[j])))
                 if edge not in said:
                     if len(said) > 200_000:
                         said.clear()
@@ -167,7 +171,7 @@ def _edges(filed: DataFrame, near: Near, blocks: bool) -> DataFrame:
                 if not batch.num_rows:
                     continue
                 keys = batch.column("key").to_numpy(zero_copy_only=False)
-                fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, width)
+                names = batch.column("fp").to_pylist()
                 side = batch.column("side").to_numpy(zero_copy_only=False) if blocks else np.zeros(len(keys), np.int32)
                 cuts = np.flatnonzero(np.diff(keys)) + 1
                 for a, b in zip([0, *cuts], [*cuts, len(keys)], strict=True):
@@ -175,15 +179,14 @@ def _edges(filed: DataFrame, near: Near, blocks: bool) -> DataFrame:
                         if held > 1 and not over:
                             yield from group(now, raw, sides)
                         now, raw, sides, held, over = keys[a], [], [], 0, False
-                    raw.append(fps[a:b])
+                    raw += names[a:b]
                     sides.append(side[a:b])
                     held += b - a
                     if not blocks and held > near.together:
                         over = True
                     if over:
-                        for part in raw:
-                            for fp in part:
-                                yield fp.tobytes(), None, int(now), True
+                        for name in raw:
+                            yield name, None, int(now), True
                         raw, sides = [], []
             if held > 1 and not over:
                 yield from group(now, raw, sides)
@@ -255,14 +258,21 @@ def components(edges: DataFrame, label: str = "components", rounds: int = 200) -
 
 
 def classes(docs: DataFrame, near: Near = STRICT) -> DataFrame:
-    """(doc_id, fp, component_id): one row for each document."""
+    """(doc_id, fp, component_id): one row for each document.
+
+    A fingerprint's name begins with its smallest doc_id in an order-keeping form, so the least name
+    of a component tells its id and nothing is gathered by component."""
     fps = table(fingerprints(docs, near), "fingerprints")
-    nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = table(components(links(nodes.select("fp"), near)), "roots")
-    named = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    node_ids = table(named.join(ids, "root").select("fp", "component_id"), "node-ids")
-    return fps.join(node_ids, "fp")
+    sign = F.lit(-(1 << 63))
+    number = F.unhex(F.lpad(F.hex(F.coalesce(F.col("least"), F.lit(0)).bitwiseXOR(sign)), 16, "0"))
+    name = F.concat(F.when(F.col("least").isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), number, F.col("fp"))
+    nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", name.alias("name")), "nodes")
+    roots = table(components(links(nodes.select(F.col("name").alias("fp")), near)), "roots").select(F.col("fp").alias("name"), "root")
+    root = F.coalesce("root", "name")
+    # 16 hex digits as an unsigned number, brought back to the signed one
+    least = F.conv(F.hex(F.substring(root, 2, 8)), 16, -10).cast("long").bitwiseXOR(sign)
+    named = nodes.join(roots, "name", "left").select("fp", F.when(F.hex(F.substring(root, 1, 1)) == "00", least).alias("component_id"))
+    return fps.join(named, "fp")
 
 
 def hexed(fp: str, bits: int = 64):
