@@ -63,9 +63,9 @@ def identifiers(c: Column) -> Column:
 
 
 def lines(c: Column) -> Column:
-    """Lines as Python's splitlines gives them: no empty one after a final line end."""
-    cut = F.split(c, LINE_END)
-    return F.when(F.element_at(cut, -1) == "", F.slice(cut, 1, F.size(cut) - 1)).otherwise(cut)
+    """Lines as Python's splitlines gives them, no empty one after a final line end; one empty line
+    for an empty text. c stands once in the result, so that chains don't evaluate it again."""
+    return F.split(F.regexp_replace(c, f"(?:{LINE_END})\\z", ""), LINE_END, -1)
 
 
 def is_heading(line: Column) -> Column:
@@ -113,7 +113,11 @@ def rendered_math(line: Column) -> Column:
 
 
 def math_fragment(paragraph: Column) -> Column:
-    s = squeeze_ends(paragraph)
+    return fragment(squeeze_ends(paragraph))
+
+
+def fragment(s: Column) -> Column:
+    """``math_fragment`` of a paragraph without blanks at its ends."""
     n = F.length(s)
     short = ((n <= 2) & s.rlike("^[A-Za-z0-9]+$")) | ((n <= 40) & s.contains("\n") & s.rlike(r"^[A-Za-z0-9\s.]+$")) | (s == "a constant.")
     wordy = (F.regexp_count(s, F.lit(r"\b[A-Za-z]{3,}\b")) >= 2) | (F.regexp_count(s, F.lit("[A-Za-z]{2,}")) >= 4)
@@ -226,9 +230,12 @@ def notes_have_body(c: Column) -> Column:
     return F.size(F.filter(lines(note_section(c)), lambda x: squeeze_ends(x) != "")) > 1
 
 
+def without_notes_title(c: Column) -> Column:
+    return squeeze_ends(F.regexp_replace(c, r"(?iU)\n{0,2}(?:==\s*)?(?:Notes?)(?:\s*==)?\s*\z", ""))
+
+
 def drop_empty_notes(c: Column) -> Column:
-    gone = squeeze_ends(F.regexp_replace(c, r"(?iU)\n{0,2}(?:==\s*)?(?:Notes?)(?:\s*==)?\s*\z", ""))
-    return F.when(notes_have_body(c), c).otherwise(gone)
+    return F.when(notes_have_body(c), c).otherwise(without_notes_title(c))
 
 
 def short(anchor: Column, limit: int = 180) -> Column:

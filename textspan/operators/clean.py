@@ -8,12 +8,17 @@ gets null for all others, so that no other text crosses over.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textspan.functions import fixed, markup, prose, text
 
 
+def arrow(ddl: str):
+    """An Arrow function over batches that is made when it is called: no session is needed before."""
+    return lambda f: lambda *columns: F.pandas_udf(f, ddl)(*columns)
+
+
 def needs_fold(c: Column, mode: str) -> Column:
     lower = F.transform(text.lines(text.newlines(c)), text.title_of)
     titled = F.exists(lower, lambda t: t.isin(sorted(fixed.DROPPED_TITLES | fixed.NOTE_TITLES)))
@@ -26,7 +31,8 @@ def _native(c: Column, mode: str, citations: bool) -> Column:
     c = F.array_join(F.transform(text.lines(text.newlines(c)), lambda x: F.regexp_replace(x, text.U + caret, "")), "\n")
     c = text.plain_headings(c if citations else text.drop_citations(c))
     if mode != "keep":
-        c = F.array_join(F.filter(F.split(c, "\n{2,}"), lambda p: ~text.math_fragment(p)), "\n\n")
+        c = F.transform(F.split(c, "\n{2,}"), lambda p: F.struct(p.alias("p"), text.squeeze_ends(p).alias("s")))
+        c = F.array_join(F.transform(F.filter(c, lambda x: ~text.fragment(x["s"])), lambda x: x["p"]), "\n\n")
     return text.final_spacing(F.regexp_replace(c, r"(?U)\s*\(\s*\)", ""))
 
 
@@ -43,9 +49,14 @@ def clean(c: Column, mode: str = "remove", citations: bool = False, references:
     return F.when(fold, folded(F.when(fold, c))).otherwise(_native(c, mode, citations))
 
 
-def extract(c: Column, title: Column, mode: str = "remove") -> Column:
-    """A plain extract as it is handed out: clean, without empty notes, under its title."""
-    return text.with_topic(text.drop_empty_notes(clean(c, mode)), title)
+def extracts(df: DataFrame, body: str = "text", title: str = "title", mode: str = "remove") -> DataFrame:
+    """df with ``body`` as plain extracts are handed out: clean, without empty notes, under the title.
+    A column for each step, as each step reads the one before more than once."""
+    df = df.withColumn("__clean", clean(F.col(body), mode))
+    df = df.withColumn("__notes", text.note_section(F.col("__clean")))
+    bodied = F.size(F.filter(text.lines(F.col("__notes")), lambda x: text.squeeze_ends(x) != "")) > 1
+    df = df.withColumn("__kept", F.when(bodied, F.col("__clean")).otherwise(text.without_notes_title(F.col("__clean"))))
+    return df.withColumn(body, text.with_topic(F.col("__kept"), F.col(title))).drop("__clean", "__notes", "__kept")
 
 
 def page(html: Column, mode: str = "remove") -> Column:
@@ -68,12 +79,12 @@ def cited_page(html: Column, mode: str = "remove", markers: bool = True) -> Colu
     return cleaned(html)
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def captions(pages: pd.Series) -> pd.Series:
     return pages.map(lambda h: None if h is None else markup.captions(h))
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def references(pages: pd.Series) -> pd.Series:
     """Texts of the numbered references; their place is their number."""
     return pages.map(lambda h: None if h is None else markup.reference_list(h))
@@ -84,46 +95,46 @@ def reference_entries(items: Column) -> Column:
     return F.map_from_arrays(F.transform(items, lambda x, i: (i + 1).cast("string")), items)
 
 
-@F.pandas_udf("text string, places array<int>")
+@arrow("text string, places array<int>")
 def visible(pages: pd.Series) -> pd.DataFrame:
     """Raw-visible text and the page offset of each of its characters."""
     return pd.DataFrame([(None, None) if h is None else markup.visible(h) for h in pages], columns=["text", "places"])
 
 
-@F.pandas_udf("text string, places array<int>")
+@arrow("text string, places array<int>")
 def folded(texts: pd.Series) -> pd.DataFrame:
     """Case and blanks folded, with offsets."""
     return pd.DataFrame([(None, None) if t is None else prose.folded(t) for t in texts], columns=["text", "places"])
 
 
-@F.pandas_udf("text string, places array<int>")
+@arrow("text string, places array<int>")
 def diff_form(texts: pd.Series) -> pd.DataFrame:
     """As ``folded``, without citations and blanks before punctuation."""
     one = lambda t: prose.folded(t, [m.span() for m in prose.CITATION.finditer(t)], tight=True)
     return pd.DataFrame([(None, None) if t is None else one(t) for t in texts], columns=["text", "places"])
 
 
-@F.pandas_udf("array<struct<text: string, start: int, end: int>>")
+@arrow("array<struct<text: string, start: int, end: int>>")
 def sentences(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else [s._asdict() for s in prose.sentences(t)])
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def comparable(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else prose.comparable(t))
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def copied_math(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else prose.copied_math(t))
 
 
-@F.pandas_udf("double")
+@arrow("double")
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else prose.ratio(a, b) for a, b in zip(left, right, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("array<string>")
+@arrow("array<string>")
 def unified(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else prose.unified(a, b) for a, b in zip(left, right, strict=True)])
 

@@ -87,21 +87,23 @@ def candidates(items: DataFrame, postings: DataFrame, sizes: DataFrame, pairs: D
     return counted.withColumn("order", order).where(F.col("order") <= most).select("item_id", "doc_id", "start", "votes", "order")
 
 
-def scored(found: DataFrame, items: DataFrame, values: DataFrame, least: float = 0.72) -> DataFrame:
+def scored(found: DataFrame, items: DataFrame, postings: DataFrame, values: DataFrame, least: float = 0.72) -> DataFrame:
     """(item_id, doc_id, start, end, overlap, ordered, score) of windows with the least score. values:
-    (doc_id, values array). Only windows whose overlap can still reach it are read in order."""
+    (doc_id, values array). A word's places in a document tell how often it is in a window, so only
+    windows whose overlap can still reach the least score are cut out and read in order."""
     anchor = items.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("apos", "value"))), lambda x: x["value"]).alias("anchor"))
-    # counts of the items' words in each document, for weights
-    both = found.join(anchor, "item_id").join(values, "doc_id").withColumn("window", F.slice("values", F.col("start") + 1, F.size("anchor")))
-    both = both.withColumn("need", F.array_distinct("anchor"))
-    count = lambda xs, w: F.size(F.filter(xs, lambda x: x == w))
-    part = lambda w: F.struct(count(F.col("anchor"), w).alias("a"), count(F.col("window"), w).alias("c"), text.weight(w, count(F.col("values"), w)).alias("w"))
-    both = both.withColumn("parts", F.transform("need", part))
-    add = lambda f: F.aggregate("parts", F.lit(0.0), lambda s, p: s + f(p))
-    both = both.withColumn("overlap", add(lambda p: F.least(p["a"], p["c"]) * p["w"]) / add(lambda p: p["a"] * p["w"]))
-    near = both.where(F.col("overlap") >= (least - 0.35) / 0.65 - 1e-9).withColumn("ordered", text.in_order(F.col("anchor"), F.col("window")))
-    out = near.withColumn("score", F.lit(0.65) * F.col("overlap") + F.lit(0.35) * F.col("ordered")).where(F.col("score") >= least)
-    return out.select("item_id", "doc_id", "start", (F.col("start") + F.size("window")).alias("end"), "overlap", "ordered", "score")
+    need = items.groupBy("item_id", "value").agg(F.count("*").alias("a"))
+    pairs = found.select("item_id", "doc_id").distinct()
+    words = pairs.join(need, "item_id").join(postings, ["doc_id", "value"], "left").withColumn("w", text.weight(F.col("value"), F.coalesce("n", F.lit(0))))
+    part = F.when(F.col("n").isNotNull(), F.struct("value", "a", "w", "positions"))
+    parts = words.groupBy("item_id", "doc_id").agg(F.sum(F.col("a") * F.col("w")).alias("whole"), F.sort_array(F.collect_list(part)).alias("parts"))
+    both = found.join(parts, ["item_id", "doc_id"]).join(anchor, "item_id").withColumn("stop", F.col("start") + F.size("anchor"))
+    inside = lambda p: F.size(F.filter(p["positions"], lambda x: (x >= F.col("start")) & (x < F.col("stop"))))
+    shared = F.aggregate("parts", F.lit(0.0), lambda s, p: s + F.least(p["a"], inside(p)) * p["w"])
+    near = both.withColumn("overlap", shared / F.col("whole")).where(F.col("overlap") >= (least - 0.35) / 0.65 - 1e-9).drop("parts")
+    cut = near.join(values, "doc_id").withColumn("window", F.slice("values", F.col("start") + 1, F.size("anchor")))
+    out = cut.withColumn("ordered", text.in_order(F.col("anchor"), F.col("window"))).withColumn("score", F.lit(0.65) * F.col("overlap") + F.lit(0.35) * F.col("ordered"))
+    return out.where(F.col("score") >= least).select("item_id", "doc_id", "start", (F.col("start") + F.size("window")).alias("end"), "overlap", "ordered", "score")
 
 
 def best(found: DataFrame) -> DataFrame:
@@ -120,4 +122,4 @@ def passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: flo
     found = segment.postings(words)
     pairs = blocked(mine, found)
     some = candidates(mine, found, arrays.select("doc_id", F.size("values").alias("size")), pairs)
-    return best(scored(some, mine, arrays, least))
+    return best(scored(some, mine, found, arrays, least))

@@ -42,7 +42,7 @@ def attempts(rows: DataFrame, order: tuple[str, ...] = fixed.FALLBACKS, **settin
 
 def report(order: tuple[str, ...] = fixed.FALLBACKS) -> Column:
     """Lines of a combined report over the attempts gathered in ``attempts`` (ordered structs)."""
-    final = F.element_at(F.filter("attempts", lambda a: a["status"] == "ok"), 1)["method"]
+    final = F.get(F.filter("attempts", lambda a: a["status"] == "ok"), F.lit(0))["method"]
     lines = F.transform("attempts", lambda a: F.concat(F.lit("- "), a["method"], F.lit(": "), a["status"], F.when(a["error"] != "", F.concat(F.lit(", "), a["error"])).otherwise("")))
     bodies = F.flatten(F.transform("attempts", lambda a: F.concat(F.array(F.lit(""), F.concat(F.lit("--- "), a["method"], F.lit(" report ---"))), a["report"])))
     head = F.array(F.lit(f"Fallback order: {' -> '.join(order)}"), F.concat(F.lit("Final method: "), F.coalesce(final, F.lit("none"))), F.lit(""), F.lit("Attempts:"))
@@ -53,7 +53,7 @@ def best(rows: DataFrame, order: tuple[str, ...] = fixed.FALLBACKS, **settings)
     """(req_id, status, method, text, start, end, report): the first method that places a request."""
     tried = attempts(rows, order, **settings)
     gathered = tried.groupBy("req_id").agg(F.sort_array(F.collect_list(F.struct("seq", "method", "status", "error", "text", "start", "end", "report"))).alias("attempts"))
-    won = F.try_element_at(F.filter("attempts", lambda a: a["status"] == "ok"), F.lit(1))
+    won = F.get(F.filter("attempts", lambda a: a["status"] == "ok"), F.lit(0))
     return gathered.select(
         "req_id",
         F.when(won.isNull(), "error").otherwise("ok").alias("status"),

@@ -1,5 +1,540 @@
-"""Queries of the engine's own operators, by name, and their SQL."""
+"""Queries of the engine's operators, each over whole tables, and the SQL that must agree.
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+Documents hold no headings or citations of their own, so most queries run on ``marked`` texts: a
+heading before, citations and a power hint after, and References and Notes at the end, made by the
+same expression on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from textspan.functions import text
+from textspan.operators import clean, match, segment
+from textspan.plans import best
+from textspan.sources import pages
+
+Query = Callable[[SparkSession, str], DataFrame]
+FLAGSHIP = "passage_alignment"
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+CIT = r"\[\d+(?:\s*[,\x{2013}-]\s*\d+)*\]"
+M = (
+    "m AS (SELECT doc_id, '== Intro ' || (doc_id % 5) || ' ==' || chr(10) || text || ' [' || (doc_id % 9 + 1) || '] Next ( ) part [2, 4-6].' || chr(10)"
+    " || '== References ==' || chr(10) || '1. one' || chr(10) || '== Notes ==' || chr(10) || '^ a ^ b Some note.' AS t FROM documents)"
+)
+L = M + ", l AS (SELECT doc_id, unnest(range(0, len(string_split(t, chr(10))))) AS ord, unnest(string_split(t, chr(10))) AS x FROM m)"
+#: Words of documents and of the first part of benchmark items, with places.
+T = (
+    "d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda v: lower(v)) AS vs FROM documents),"
+    " t AS (SELECT doc_id, unnest(range(0, len(vs))) AS pos, unnest(vs) AS value FROM d),"
+    " b AS (SELECT item_id, list_slice(list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda v: lower(v)), 1, 60) AS ws FROM benchmark),"
+    " a AS (SELECT item_id, unnest(range(0, len(ws))) AS apos, unnest(ws) AS value FROM b),"
+    " p AS (SELECT doc_id, value, count(*) AS n, list(pos ORDER BY pos) AS ps FROM t WHERE value IN (SELECT value FROM a) GROUP BY doc_id, value),"
+    " df AS (SELECT value, count(*) AS df FROM p GROUP BY value),"
+    " r8 AS (SELECT item_id, value FROM (SELECT item_id, value, row_number() OVER (PARTITION BY item_id ORDER BY df, value) AS r FROM (SELECT DISTINCT item_id, value FROM a) JOIN df USING (value)) WHERE r <= 8),"
+    " pr AS (SELECT DISTINCT item_id, doc_id FROM p JOIN r8 USING (value))"
+)
+STOP = ", ".join(f"'{w}'" for w in sorted(text.fixed.STOP_WORDS))
+C = (
+    ", o AS (SELECT item_id, value, list_slice(list(apos ORDER BY apos), 1, 3) AS qs FROM a GROUP BY item_id, value),"
+    " me AS (SELECT pr.item_id, pr.doc_id, value, n, ps, qs, len(vs) AS size,"
+    f" value NOT IN ({STOP}) AND length(value) > 2 AND n <= greatest(20, len(vs) // 35) AS telling FROM pr JOIN o USING (item_id) JOIN p USING (doc_id, value) JOIN d USING (doc_id)),"
+    " mx AS (SELECT *, bool_or(telling) OVER (PARTITION BY item_id, doc_id) AS tells FROM me),"
+    " rk AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY n, length(value) DESC, value) AS r FROM mx WHERE telling OR NOT tells),"
+    " v1 AS (SELECT item_id, doc_id, size, r, qs, unnest(ps) AS pp FROM rk WHERE r <= 28),"
+    " v2 AS (SELECT item_id, doc_id, size, r, pp, unnest(range(0, len(qs))) AS k, unnest(qs) AS q FROM v1),"
+    " vt AS (SELECT item_id, doc_id, pp - q AS start, count(*) AS votes, min({'r': r, 'p': pp, 'k': k}) AS f FROM v2 WHERE pp >= q AND pp - q < size GROUP BY ALL),"
+    ' ca AS (SELECT item_id, doc_id, start, votes, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY votes DESC, f) AS "order" FROM vt QUALIFY "order" <= 240)'
+)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [
+        "== Intro ", F.col("doc_id") % 5, " ==\n", F.col("text"), " [", F.col("doc_id") % 9 + 1, "] Next ( ) part [2, 4-6].\n== References ==\n1. one\n== Notes ==\n^ a ^ b Some note."
+    ]
+    return documents(spark, sf_dir).select("doc_id", F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("t"))
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked(spark, sf_dir).select("doc_id", F.posexplode(F.split("t", "\n")).alias("ord", "x"))
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+
+
+def html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(q: Query) -> Query:
+        QUERIES[name] = q
+        if sql is not None:
+            ORACLES[name] = sql
+        return q
+
+    return put
+
+
+def on_marked(name: str, sql: str, **columns: Callable[[Column], Column]) -> None:
+    """A query of columns over marked texts; sql gives the same columns over m(doc_id, t)."""
+    query(name, f"WITH {M} SELECT doc_id, {sql} FROM m")(lambda s, d: marked(s, d).select("doc_id", *(f(F.col("t")).alias(c) for c, f in columns.items())))
+
+
+def on_lines(name: str, sql: str, **columns: Callable[[Column], Column]) -> None:
+    query(name, f"WITH {L} SELECT doc_id, ord, {sql} FROM l")(lambda s, d: marked_lines(s, d).select("doc_id", "ord", *(f(F.col("x")).alias(c) for c, f in columns.items())))
+
+
+# -- texts ---------------------------------------------------------------------------------------
+
+TIDY = r"trim(regexp_replace(regexp_replace({}, '\s+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g'))"
+on_marked("drop_citations", f"regexp_replace(t, '{CIT}', '', 'g') AS value", value=text.drop_citations)
+on_marked("drop_maintenance", r"regexp_replace(t || ' [Citation needed] x [dubious - discuss]', '(?i)\[\s*(?:citation needed|better source needed|clarification needed|dubious\s*[\x{2013}\x{2014}-]\s*discuss)\s*\]', '', 'g') AS value", value=lambda c: text.drop_maintenance(F.concat(c, F.lit(" [Citation needed] x [dubious - discuss]"))))
+on_marked("tidy_references", TIDY.format("t") + " AS value", value=text.tidy)
+on_marked("tidy_captions", TIDY.format(rf"regexp_replace(regexp_replace('Edit ' || t, '{CIT}', '', 'g'), '(?i)\bedit\b', '', 'g')") + " AS value", value=lambda c: text.caption(F.concat(F.lit("Edit "), c)))
+FORMULA = r"'\text{v}  = \frac{' || left(t, 20) || '}_2 ,;'"
+FORMULA_C = lambda c: F.concat(F.lit("\\text{v}  = \\frac{"), F.substring(c, 1, 20), F.lit("}_2 ,;"))
+on_marked("latex_forms", rf"regexp_replace(trim(replace(regexp_replace({FORMULA}, '\s+', ' ', 'g'), '\text{{', '\mathrm{{')), '[,.;:]+$', '') AS value", value=lambda c: text.latex(FORMULA_C(c)))
+on_marked(
+    "formula_identifiers",
+    rf"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({FORMULA}, '\\(?:displaystyle|mathrm|text|operatorname)\s*', ' ', 'g'), '\\(?:frac|begin|end|sum|log|Pr|mid|left|right)\b', ' ', 'g'), '\\[A-Za-z]+', ' ', 'g'), '[^0-9A-Za-z]+', ' ', 'g')) AS value",
+    value=lambda c: text.identifiers(FORMULA_C(c)),
+)
+HEAD = r"regexp_matches({0}, '^\s*==\s*.*?\s*==\s*$')"
+on_lines("section_titles", rf"CASE WHEN {HEAD.format('x')} THEN lower(trim(regexp_extract(x, '^\s*==\s*(.*?)\s*==\s*$', 1))) ELSE lower(trim(x)) END AS title, {HEAD.format('x')} AS is_heading", title=text.title_of, is_heading=text.is_heading)
+on_marked("plain_headings", r"regexp_replace(t, '(?m)^[ \t]*==+[ \t]*([^\n]*?)[ \t]*==+[ \t]*$', '== \1 ==', 'g') AS value", value=text.plain_headings)
+on_lines("glyph_titles", r"length(trim(left(x, 2))) > 0 AND NOT regexp_matches(left(x, 2), '[\p{L}\p{N}_]') AS glyph", glyph=lambda c: text.glyph(F.substring(c, 1, 2)))
+S = r"regexp_replace(trim(x), '[,.;:]+$', '')"
+SEEN = r"length(regexp_replace(trim(x), '\s', '', 'g'))"
+LETTERS = r"length(regexp_replace(trim(x), '\P{L}', '', 'g'))"
+SIGNS = r"len(regexp_extract_all(trim(x), '[+\-=*/^_{}\\∝×÷√∑∫≤≥≈≠−]'))"
+on_lines(
+    "line_kinds",
+    rf"""(length({S}) <= 2 AND regexp_matches({S}, '^[A-Za-z0-9]*$')) OR {S} = 'a constant' OR regexp_matches({S}, '^[+\-–−=∝×*/^(),.{{}}\\]+$')
+      OR (length({S}) <= 30 AND regexp_matches({S}, '[+\-–−=∝×*/^{{}}\\]')) OR (length({S}) <= 80 AND NOT contains({S}, ' ') AND regexp_matches({S}, '[A-Za-z]\('))
+      OR (length({S}) <= 180 AND (regexp_matches({S}, '[=∝×÷√∑∫≤≥≈≠−|\x{{0370}}-\x{{03ff}}\x{{2061}}]') OR regexp_matches({S}, '\b(?:Pr|log|sin|cos|tan|exp|token)\s*\('))) AS rendered_math,
+    {SEEN} = 0 OR {LETTERS} / greatest({SEEN}, 1) < 0.30 OR lower(trim(x)) IN ('edit', 'source', 'map', 'image') OR (length(trim(x)) < 40 AND regexp_matches(trim(x), '^[^\p{{L}}]+$')) AS noise,
+    {SEEN} > 0 AND (({SIGNS} >= 2 AND {SIGNS} / greatest({SEEN}, 1) >= 0.12) OR ({SEEN} >= 3 AND {LETTERS} / greatest({SEEN}, 1) < 0.35 AND {SIGNS} >= 1)
+      OR regexp_matches(trim(x), '\b[a-zA-Z]\s*[=∝]\s*[A-Za-z0-9]')) AS math_heavy,
+    trim(x) = '' OR (regexp_matches(trim(x), '^[a-z ]+$') AND length(trim(x)) <= 60) AS math_word""",
+    rendered_math=text.rendered_math,
+    noise=text.noise,
+    math_heavy=text.math_heavy,
+    math_word=text.math_word,
+)
+P = "trim(x)"
+on_lines(
+    "math_fragments",
+    rf"""{P} <> '' AND NOT {HEAD.format(P)} AND ((length({P}) <= 2 AND regexp_matches({P}, '^[A-Za-z0-9]+$')) OR {P} = 'a constant.'
+      OR (len(regexp_extract_all({P}, '\b[A-Za-z]{{3,}}\b')) < 2 AND len(regexp_extract_all({P}, '[A-Za-z]{{2,}}')) < 4 AND length({P}) <= 120
+      AND regexp_matches({P}, '^[\sA-Za-z0-9+\-–−=∝×*/^().,{{}}\\]+$') AND regexp_matches({P}, '[+\-–−=∝×*/^{{}}\\]'))) AS fragment""",
+    fragment=text.math_fragment,
+)
+
+
+def norm(x: str) -> str:
+    """The comparable form in SQL, of texts without formulas or doubled words."""
+    return rf"trim(lower(regexp_replace(regexp_replace(regexp_replace({x}, '{CIT}', '', 'g'), '\s+([,.;:!?])', '\1', 'g'), '\s+', ' ', 'g')))"
+
+
+on_marked("unicode_words", r"regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS words", words=lambda c: text.words(F.lower(c)))
+on_marked("cited_numbers", rf"""flatten(list_transform(regexp_extract_all(t, '{CIT}'), lambda c: flatten(list_transform(string_split(trim(c, '[]'), ','), lambda q:
+  CASE WHEN regexp_matches(trim(q), '^\d+\s*-\s*\d+$') THEN list_transform(range(CAST(regexp_extract(trim(q), '^(\d+)', 1) AS BIGINT), CAST(regexp_extract(trim(q), '(\d+)$', 1) AS BIGINT) + 1), lambda n: CAST(n AS VARCHAR))
+  ELSE [trim(q)] END)))) AS numbers""", numbers=text.cited_numbers)
+on_marked("unique_numbers", "list_transform(list_distinct([CAST(doc_id % 3 AS VARCHAR), '1', CAST(doc_id % 3 AS VARCHAR)]), lambda x: x) AS numbers", numbers=lambda c: F.array_distinct(F.array((F.col("doc_id") % 3).cast("string"), F.lit("1"), (F.col("doc_id") % 3).cast("string"))))
+ORACLES["unique_numbers"] = f"WITH {M} SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN ['1'] ELSE [CAST(doc_id % 3 AS VARCHAR), '1'] END AS numbers FROM m"
+on_marked("topic_headings", "CASE WHEN starts_with(lower(trim(t)), lower('== Intro 1 ==')) THEN trim(t) ELSE '== Intro 1 ==' || chr(10) || chr(10) || trim(t) END AS value", value=lambda c: text.with_topic(c, F.lit("Intro 1")))
+on_marked("note_sections", "'== Notes ==' || chr(10) || '^ a ^ b Some note.' AS section, true AS has_body", section=text.note_section, has_body=text.notes_have_body)
+on_marked("empty_notes", r"CASE WHEN contains(left(t, 200), '== Notes ==') THEN left(t, 200) || chr(10) || '== Notes ==' ELSE trim(regexp_replace(left(t, 200) || chr(10) || '== Notes ==', '(?i)\n{0,2}(?:==\s*)?(?:Notes?)(?:\s*==)?\s*\z', ''), ' ' || chr(10)) END AS value", value=lambda c: text.drop_empty_notes(F.concat(F.substring(c, 1, 200), F.lit("\n== Notes =="))))
+SQ = r"trim(regexp_replace(t, '\s+', ' ', 'g'))"
+on_marked("short_anchors", f"CASE WHEN length({SQ}) <= 180 THEN {SQ} ELSE left({SQ}, 177) || '...' END AS anchor", anchor=text.short)
+on_marked("boundary_words", r"regexp_extract_all(t, '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*')[1] AS first, regexp_extract_all(t, '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*')[-1] AS last", first=lambda c: text.edge_words(c)["first"], last=lambda c: text.edge_words(c)["last"])
+on_marked("text_digests", "left(sha256(t), 16) AS digest", digest=text.digest)
+on_marked("report_values", r"trim(regexp_extract('Status: ok' || chr(10) || 'Start offset:  ' || doc_id || chr(10), '(?m)^Start offset:\s*(.+)$', 1)) AS value", value=lambda c: text.report_value(F.concat(F.lit("Status: ok\nStart offset:  "), F.col("doc_id"), F.lit("\n")), "Start offset"))
+on_marked("failure_texts", "'Benchmark method failed' || chr(10) || chr(10) || 'Method: dmp' || chr(10) || 'Error: e' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || chr(10) || 'Report:' || chr(10) || trim(left(t, 30), ' ' || chr(10)) END AS value", value=lambda c: text.failure_text(F.lit("dmp"), F.lit("e"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.substring(c, 1, 30))))
+on_marked("telling_chunks", "len(regexp_extract_all(substr(t, 13, 20), '[a-z0-9]{3,}')) >= 2 OR (length(trim(substr(t, 13, 20))) >= 18 AND len(regexp_extract_all(substr(t, 13, 20), '[a-z0-9]{3,}')) >= 1) AS telling", telling=lambda c: text.telling(F.substring(c, 13, 20)))
+on_marked("cut_spans", r"regexp_replace(left(t, 40), '[ \t]+$', '') || regexp_replace(substr(t, 61), '^[ \t]+', '') AS value, regexp_matches(regexp_extract(left(t, 40), '([^\n]*)$', 1), '^\s*$') AS at_line_start", value=lambda c: text.cut_out(c, F.lit(40), F.lit(60)), at_line_start=lambda c: text.at_line_start(c, F.lit(40)))
+on_marked("paragraph_counts", r"CAST(len(list_filter(string_split_regex(t, '\n\s*\n'), lambda x: trim(x) <> '')) AS INTEGER) AS n", n=segment.paragraph_count)
+on_marked("exact_windows", "instr(t, substr(t, 31, 12)) - 1 AS first, length(t) - instr(reverse(t), reverse(substr(t, 31, 12))) - 12 + 1 AS last", first=lambda c: text.find_exact(c, F.substring(c, 31, 12)), last=lambda c: text.find_exact(c, F.substring(c, 31, 12), last=True))
+on_marked("section_free_texts", r"trim(regexp_replace(regexp_replace(t, '\n== References ==\n1\. one\n', chr(10) || chr(10)), '\s+$', '')) AS value", value=lambda c: _without_references(c))
+on_marked("reference_blocks", "'== References ==' || chr(10) || chr(10) || '1. ' || left(t, 12) || chr(10) || chr(10) || '2. b' AS block", block=lambda c: text.reference_block(F.array(F.lit("1"), F.lit("2")), F.array(F.substring(c, 1, 12), F.lit("b"))))
+on_marked("anchor_scores", "0.0 AS least", least=lambda c: text.least_score(F.substring(c, F.lit(1), (F.col("doc_id") % 20 + 10).cast("int")), 0.92))
+ORACLES["anchor_scores"] = (
+    f"WITH {M}, q AS (SELECT doc_id, left(t, 10 + doc_id % 20) AS x FROM m) SELECT doc_id, CASE WHEN length({norm('x')}) < 14 THEN CAST(0.95 AS DOUBLE)"
+    rf" WHEN ({SEEN} > 0 AND (({SIGNS} >= 2 AND {SIGNS} / greatest({SEEN}, 1) >= 0.12) OR ({SEEN} >= 3 AND {LETTERS} / greatest({SEEN}, 1) < 0.35 AND {SIGNS} >= 1)"
+    r" OR regexp_matches(trim(x), '\b[a-zA-Z]\s*[=∝]\s*[A-Za-z0-9]'))) OR contains(x, '$') OR len(regexp_extract_all(x, '\b[A-Za-z]\b')) >= 5 THEN CAST(0.87 AS DOUBLE) ELSE CAST(0.92 AS DOUBLE) END AS least FROM q"
+)
+
+
+def _without_references(c: Column) -> Column:
+    """Without the References section, which lasts to the next heading."""
+    gone = F.regexp_replace(c, r"(?s)\s*(?m:^)== References ==(?m:$).*?(?=(?m:^)== |\z)", "\n\n")
+    return text.squeeze_ends(gone)
+
+
+# -- addresses, files and reports ----------------------------------------------------------------
+
+
+@query("page_requests", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN page_id % 7 <> 0 THEN 'Topic ' || page_id || ' + é' END AS title, CASE WHEN page_id % 7 <> 0 THEN 'fi' END AS lang FROM pages")
+def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.when(F.col("page_id") % 7 == 0, F.parse_url("url", F.lit("HOST"))).otherwise("fi.wikipedia.org")
+    url = F.concat(F.lit("https://"), host, F.lit("/wiki/Topic_"), F.col("page_id"), F.lit("_+_%C3%A9"))
+    found = html(spark, sf_dir).select("page_id", pages.page_request(url).alias("r"))
+    return found.select("page_id", "r.status", "r.title", "r.lang")
+
+
+@query("stored_answers", "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN page_id % 5 <> 0 THEN length(html) END AS size FROM pages")
+def stored_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.when(F.col("page_id") % 5 == 0, '{"error": {"info": "gone"}}').otherwise(F.to_json(F.struct(F.struct(F.col("html").alias("text")).alias("parse"))))
+    return html(spark, sf_dir).select("page_id", pages.answered_html(answer).alias("r")).select("page_id", "r.status", F.length("r.html").alias("size"))
+
+
+SAFE = r"""coalesce(nullif(trim(regexp_replace(regexp_replace(replace(trim('Topic: ' || source || ' / part?'), ' ', '_'), '[<>:"/\\|?*\x00-\x1f]', '_', 'g'), '_+', '_', 'g'), '._'), ''), 'wikipedia_page')"""
+FOLDER = f"'output/' || {SAFE} || '/' || CASE lang WHEN 'en' THEN 'English' ELSE lang END"
+
+
+@query(
+    "result_paths",
+    f"SELECT doc_id, {FOLDER} AS folder, {FOLDER} || '/' || lower({SAFE}) || '_comparison.txt' AS comparison, {FOLDER} || '/partial_dmp_raw_html_match_report.txt' AS raw_report, "
+    f"{FOLDER} || '/' || lower({SAFE}) || '_html_latex.txt' AS page_text, {FOLDER} || '/partial_benchmark_token_text.txt' AS method_text, {FOLDER} || '/' || lower({SAFE}) || '_partial_benchmark_5way.csv' AS benchmark FROM documents",
+)
+def result_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title, lang = F.concat(F.lit("Topic: "), F.col("source"), F.lit(" / part?")), F.col("lang")
+    return documents(spark, sf_dir).select(
+        "doc_id", text.folder("output", title, lang).alias("folder"), text.path("output", title, lang, "comparison").alias("comparison"),
+        text.path("output", title, lang, "dmp_raw_html_report").alias("raw_report"), text.text_path("output", title, lang, "html", "latex").alias("page_text"),
+        text.method_path("output", title, lang, F.lit("token")).alias("method_text"), text.path("output", title, lang, "benchmark").alias("benchmark"),
+    )
+
+
+@query(
+    "merged_runtimes",
+    """WITH e AS (SELECT source AS page, CASE doc_id % 3 WHEN 0 THEN 'Partial token runtime (latex, x)' WHEN 1 THEN 'HTML parser runtime (keep, x)' ELSE 'Other (x)' END AS label, doc_id AS seq, n_chars / 1000.0 AS seconds FROM documents),
+    n AS (SELECT page, label, arg_max(seconds, seq) AS seconds FROM e GROUP BY page, label)
+    SELECT page, label, CAST(seconds AS DOUBLE) AS seconds, CAST(row_number() OVER (PARTITION BY page ORDER BY CASE label[1] WHEN 'H' THEN 1 WHEN 'P' THEN 5 ELSE 9 END, label) AS INTEGER) AS place FROM n""",
+)
+def merged_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("doc_id") % 3
+    label = F.when(kind == 0, "Partial token runtime (latex, x)").when(kind == 1, "HTML parser runtime (keep, x)").otherwise("Other (x)")
+    entries = documents(spark, sf_dir).select(F.col("source").alias("page"), label.alias("label"), F.col("doc_id").alias("seq"), (F.col("n_chars") / 1000.0).cast("double").alias("seconds"))
+    return pages.merged_runtimes(entries)
+
+
+@query(
+    "cleaning_comparison",
+    r"""WITH q AS (SELECT doc_id, text AS a, regexp_replace(text, '\n[^\n]*$', '') AS b FROM documents)
+    SELECT doc_id, length(a) AS left_chars, length(b) AS right_chars, abs(length(a) - length(b)) AS char_mismatch, len(string_split(a, chr(10))) AS left_lines,
+    len(string_split(b, chr(10))) AS right_lines, abs(len(string_split(a, chr(10))) - len(string_split(b, chr(10)))) AS line_mismatch, a = b AS exact FROM q""",
+)
+def cleaning_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = documents(spark, sf_dir).select("doc_id", F.col("text").alias("a"), F.regexp_replace("text", r"\n[^\n]*\z", "").alias("b"))
+    return both.select("doc_id", pages.comparison(F.col("a"), F.col("b")).alias("c")).select("doc_id", "c.*")
+
+
+# -- segments ------------------------------------------------------------------------------------
+
+RUN = "coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+
+
+@query("text_lines", f'WITH {L} SELECT doc_id, ord, x AS text, CAST({RUN} AS INTEGER) AS start, CAST({RUN} + length(x) AS INTEGER) AS "end" FROM l')
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.lines(marked(spark, sf_dir), "doc_id", "t")
+
+
+H = L + rf", s AS (SELECT doc_id, ord, x, CAST({RUN} AS INTEGER) AS start FROM l), h AS (SELECT doc_id, trim(regexp_extract(x, '^\s*==\s*(.*?)\s*==\s*$', 1)) AS title, start, start + length(x) AS stop FROM s WHERE {HEAD.format('x')})"
+
+
+@query("heading_spans", f'WITH {H} SELECT doc_id, title, start, CAST(stop AS INTEGER) AS "end", lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS next_start FROM h')
+def heading_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.headings(marked(spark, sf_dir), "doc_id", "t")
+
+
+@query(
+    "skipped_sections",
+    f"WITH {H}, n AS (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY start) AS nx FROM h) SELECT doc_id, start, CAST(coalesce(nx, length(t)) AS INTEGER) AS \"end\" FROM n JOIN m USING (doc_id) WHERE lower(title) IN ('see also', 'references', 'external links')",
+)
+def skipped_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = marked(spark, sf_dir)
+    return segment.section_spans(segment.headings(docs, "doc_id", "t"), docs, key="doc_id", body="t")
+
+
+PIECES = (
+    ", g AS (SELECT doc_id, regexp_extract_all(t, '{p}') AS vs, string_split_regex(t, '{p}') AS gs FROM m),"
+    " x AS (SELECT doc_id, unnest(range(0, len(vs))) AS ord, unnest(vs) AS v, unnest(list_slice(gs, 1, len(vs))) AS gap FROM g),"
+    " y AS (SELECT *, CAST(sum(length(v) + length(gap)) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS INTEGER) AS e FROM x)"
+)
+
+
+@query("citation_table", f"WITH {M}{PIECES.format(p=CIT)} SELECT doc_id, ord, trim(v, '[]') AS number, CAST(e - length(v) AS INTEGER) AS start, e AS \"end\" FROM y")
+def citation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.citations(marked(spark, sf_dir), "doc_id", "t")
+
+
+@query(
+    "citation_sequences",
+    f"WITH {M}{PIECES.format(p=CIT)}, c AS (SELECT doc_id, ord, trim(v, '[]') AS n, e - length(v) AS s, e, lead(trim(v, '[]')) OVER w AS n2, lead(e) OVER w AS e2 FROM y WINDOW w AS (PARTITION BY doc_id ORDER BY ord))"
+    ' SELECT doc_id, ord, [n, n2] AS sequence, CAST(s AS INTEGER) AS start, e2 AS "end" FROM c WHERE n2 IS NOT NULL',
+)
+def citation_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.citation_runs(segment.citations(marked(spark, sf_dir), "doc_id", "t"), 2)
+
+
+@query(
+    "citation_contexts",
+    rf"WITH {M}{PIECES.format(p=CIT)} SELECT doc_id, ord, list_slice(regexp_extract_all({norm('substr(t, e + 1, 240)')}, '[\p{{L}}\p{{N}}]+'), 1, 3) AS after FROM y JOIN m USING (doc_id)",
+)
+def citation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = marked(spark, sf_dir)
+    found = segment.citations(docs, "doc_id", "t").join(docs, "doc_id")
+    return found.select("doc_id", "ord", F.slice(text.words(text.comparable_plain(F.substring("t", F.col("end") + 1, F.lit(240)))), 1, 3).alias("after"))
+
+
+
+
+@query(
+    "token_table",
+    "WITH d AS (SELECT doc_id, text AS t FROM documents), m AS (SELECT * FROM d)" + PIECES.format(p="[A-Za-z0-9]+") + ' SELECT doc_id, CAST(ord AS INTEGER) AS pos, lower(v) AS value, CAST(e - length(v) AS INTEGER) AS start, e AS "end" FROM y',
+)
+def token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.tokens(documents(spark, sf_dir))
+
+
+@query(
+    "token_postings",
+    "WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS vs FROM documents), t AS (SELECT doc_id, unnest(range(0, len(vs))) AS pos, unnest(vs) AS value FROM d)"
+    " SELECT doc_id, value, count(*) AS n, list(CAST(pos AS INTEGER) ORDER BY pos) AS positions FROM t GROUP BY doc_id, value",
+)
+def token_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.postings(segment.tokens(documents(spark, sf_dir)))
+
+
+@query(
+    "token_weights",
+    "WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS value FROM documents) SELECT value, count(*) AS n,"
+    f" CASE WHEN value IN ({STOP}) OR length(value) <= 2 THEN 0.25 ELSE 1.0 END / sqrt(count(*)) AS weight FROM t GROUP BY value",
+)
+def token_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = documents(spark, sf_dir).select(F.explode(text.ascii_words(F.col("text"))).alias("value"))
+    return words.groupBy("value").agg(F.count("*").alias("n")).withColumn("weight", text.weight(F.col("value"), F.col("n")))
+
+
+@query(
+    "token_overlap",
+    "WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS vs FROM documents) SELECT a.doc_id, CASE WHEN len(a.vs) = 0 OR len(b.vs) = 0 THEN 0.0"
+    " ELSE len(list_intersect(a.vs, b.vs)) / greatest(len(a.vs), len(b.vs)) END AS score FROM d a JOIN d b ON b.doc_id = a.doc_id + 1",
+)
+def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.array_distinct(text.ascii_words(F.col("text"))).alias("a"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    return docs.join(after, "doc_id").select("doc_id", text.set_overlap(F.col("a"), F.col("b")).alias("score"))
+
+
+@query(
+    "token_chunks",
+    "WITH d AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS n FROM documents) SELECT doc_id, CAST(u.i AS INTEGER) AS start, CAST(least(n, u.i + 60) AS INTEGER) AS \"end\""
+    " FROM d, unnest(range(0, n, 60)) AS u(i) WHERE n <= 60 OR least(n, u.i + 60) - u.i >= 8",
+)
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", F.size(text.ascii_words(F.col("text"))).alias("n")).where("n > 0")
+    cut = docs.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(60))).alias("start")).withColumn("end", F.least("n", F.col("start") + 60))
+    return cut.where("n <= 60 or end - start >= 8").select("doc_id", "start", "end")
+
+
+@query(
+    "sentence_windows",
+    "WITH d AS (SELECT doc_id, n_chars % 20 AS n FROM documents) SELECT doc_id, CAST(s AS INTEGER) AS start FROM (SELECT doc_id, unnest(range(0, n - 2, 3)) AS s FROM d WHERE n >= 3 UNION SELECT doc_id, n - 3 FROM d WHERE n >= 3)",
+)
+def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", (F.col("n_chars") % 20).cast("int").alias("n")).where("n >= 3")
+    begins = F.array_union(F.sequence(F.lit(0), F.col("n") - 3, F.lit(3)), F.array(F.col("n") - 3))
+    return docs.select("doc_id", F.explode(begins).alias("start"))
+
+
+@query(
+    "merged_spans",
+    """WITH s AS (SELECT orderkey, a, b FROM (SELECT l_orderkey AS orderkey, CAST(l_partkey % 97 AS INTEGER) AS a, CAST(l_partkey % 97 + l_quantity AS INTEGER) AS b FROM lineitem) WHERE b > a),
+    r AS (SELECT *, max(b) OVER (PARTITION BY orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY orderkey ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM r)
+    SELECT orderkey, min(a) AS start, max(b) AS "end" FROM i GROUP BY orderkey, g""",
+)
+def merged_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = (F.col("l_partkey") % 97).cast("int")
+    spans = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("orderkey"), start.alias("start"), (start + F.col("l_quantity")).cast("int").alias("end"))
+    return segment.merged_spans(spans, "orderkey")
+
+
+@query(
+    "source_spans",
+    "WITH q AS (SELECT doc_id, list_transform(range(0, 50), lambda i: i * 2 + i % 3) AS ps, CAST(doc_id % 70 AS INTEGER) - 5 AS a FROM documents), r AS (SELECT doc_id, ps, a, least(greatest(a, 0), 49) AS s FROM q)"
+    ' SELECT doc_id, CAST(ps[s + 1] AS INTEGER) AS start, CAST(ps[greatest(s + 1, least(a + 9, 50))] + 1 AS INTEGER) AS "end", CAST(ps[greatest(least(a - 1, 49), 0) + 1] + 1 AS INTEGER) AS place FROM r',
+)
+def source_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: i * 2 + i % 3)
+    docs = documents(spark, sf_dir).select("doc_id", places.alias("ps"), ((F.col("doc_id") % 70).cast("int") - 5).alias("a"))
+    span = text.source_span(F.col("ps"), F.col("a"), F.col("a") + 9)
+    return docs.select("doc_id", span["start"].alias("start"), span["end"].alias("end"), text.page_place(F.col("ps"), F.col("a"), end=True).cast("int").alias("place"))
+
+
+@query("page_tags", r"WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[^>]+>')) AS tag FROM pages) SELECT page_id, lower(regexp_extract(tag, '^</?\s*([A-Za-z0-9:-]+)', 1)) AS name, count(*) AS n FROM t GROUP BY ALL")
+def page_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = html(spark, sf_dir).select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<[^>]+>"), F.lit(0))).alias("tag"))
+    return tags.groupBy("page_id", text.tag_of(F.col("tag")).alias("name")).agg(F.count("*").alias("n"))
+
+
+COPIED = L + ", c AS (SELECT doc_id, ord, CASE WHEN ord = 1 THEN 'Intro ' || (doc_id % 5) ELSE x END AS x FROM l)"
+
+
+@query("copied_headings", f"WITH {COPIED} SELECT doc_id, ord, trim(x, ' =' || chr(9)) AS title, CAST(0 AS INTEGER) AS heading_start FROM c WHERE lower(trim(x, ' =' || chr(9))) = 'intro ' || (doc_id % 5)"
+       f" UNION ALL SELECT doc_id, ord, 'Notes', CAST(instr(t, chr(10) || '== Notes ==') AS INTEGER) FROM c JOIN m USING (doc_id) WHERE x = '== Notes =='")
+def copied_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.copied_headings(_copied(spark, sf_dir), segment.headings(marked(spark, sf_dir), "doc_id", "t"))
+
+
+def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = marked_lines(spark, sf_dir)
+    return lines.select("doc_id", "ord", F.when(F.col("ord") == 1, F.concat(F.lit("Intro "), F.col("doc_id") % 5)).otherwise(F.col("x")).alias("text"))
+
+
+@query("kept_copied_lines", f"WITH {COPIED} SELECT doc_id, ord, x AS text FROM c WHERE x NOT IN ('== References ==', '1. one')")
+def kept_copied_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = segment.headings(marked(spark, sf_dir), "doc_id", "t")
+    return segment.without_ignored(_copied(spark, sf_dir), heads.select("doc_id", text.comparable_plain(F.col("title")).alias("name")))
+
+
+@query(
+    "reference_choice",
+    "WITH n AS (SELECT DISTINCT source, doc_id % 40 AS number FROM documents), e AS (SELECT l_linenumber AS number, min(l_comment) AS entry FROM (SELECT l_linenumber, CAST(l_partkey AS VARCHAR) AS l_comment FROM lineitem) GROUP BY l_linenumber)"
+    " SELECT source, n.number, entry, CAST(CASE WHEN entry IS NOT NULL THEN row_number() OVER (PARTITION BY source, entry IS NOT NULL ORDER BY n.number) END AS INTEGER) AS renumbered FROM n LEFT JOIN e USING (number)",
+)
+def reference_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Present and missing entries of cited numbers; present ones are renumbered in order."""
+    cited = documents(spark, sf_dir).select("source", (F.col("doc_id") % 40).alias("number")).distinct()
+    entries = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_linenumber").alias("number")).agg(F.min(F.col("l_partkey").cast("string")).alias("entry"))
+    w = Window.partitionBy("source", F.col("entry").isNotNull()).orderBy("number")
+    return cited.join(entries, "number", "left").select("source", "number", "entry", F.when(F.col("entry").isNotNull(), F.row_number().over(w)).alias("renumbered"))
+
+
+# -- alignment -----------------------------------------------------------------------------------
+
+
+@query("blocked_pairs", f"WITH {T} SELECT item_id, doc_id FROM pr")
+def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.blocked(_items(spark, sf_dir), segment.postings(segment.tokens(documents(spark, sf_dir))))
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.tokens(benchmark(spark, sf_dir), "item_id").where(F.col("pos") < match.WINDOW).select("item_id", F.col("pos").alias("apos"), "value")
+
+
+@query("candidate_windows", f'WITH {T}{C} SELECT item_id, doc_id, CAST(start AS INTEGER) AS start, votes, CAST("order" AS INTEGER) AS "order" FROM ca')
+def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items, docs = _items(spark, sf_dir), documents(spark, sf_dir)
+    found = segment.postings(segment.tokens(docs))
+    return match.candidates(items, found, docs.select("doc_id", F.size(text.ascii_words(F.col("text"))).alias("size")), match.blocked(items, found))
+
+
+@query(
+    "passage_alignment",
+    f"""WITH RECURSIVE {T}{C}, f AS (SELECT item_id, value, count(*) AS an FROM a GROUP BY ALL),
+    w AS (SELECT ca.item_id, ca.doc_id, ca.start, list_slice(vs, start + 1, start + len(ws)) AS ys, ws FROM ca JOIN d USING (doc_id) JOIN b USING (item_id)),
+    q AS (SELECT w.item_id, w.doc_id, w.start, f.value, an, len(list_filter(ys, lambda y: y = f.value)) AS cn,
+      CASE WHEN f.value IN ({STOP}) OR length(f.value) <= 2 THEN 0.25 ELSE 1.0 END / sqrt(greatest(coalesce(p.n, 0), 1)) AS wt FROM w JOIN f USING (item_id) LEFT JOIN p ON p.doc_id = w.doc_id AND p.value = f.value),
+    ov AS (SELECT item_id, doc_id, start, sum(least(an, cn) * wt) / sum(an * wt) AS overlap FROM q GROUP BY ALL HAVING sum(least(an, cn) * wt) / sum(an * wt) >= (0.72 - 0.35) / 0.65 - 1e-9),
+    st AS (SELECT item_id, doc_id, start, 1 AS i, 0 AS pz, 0 AS met FROM ov
+      UNION ALL SELECT st.item_id, st.doc_id, st.start, i + 1, CASE WHEN coalesce(list_position(list_slice(ys, pz + 1, len(ys)), ws[i]), 0) > 0 THEN pz + list_position(list_slice(ys, pz + 1, len(ys)), ws[i]) ELSE pz END,
+      met + CASE WHEN coalesce(list_position(list_slice(ys, pz + 1, len(ys)), ws[i]), 0) > 0 THEN 1 ELSE 0 END FROM st JOIN w USING (item_id, doc_id, start) WHERE i <= len(ws)),
+    sc AS (SELECT item_id, doc_id, start, overlap, max(met) / max(len(ws)) AS ordered, max(len(ys)) AS size FROM st JOIN ov USING (item_id, doc_id, start) JOIN w USING (item_id, doc_id, start) GROUP BY ALL),
+    z AS (SELECT *, 0.65 * overlap + 0.35 * ordered AS score FROM sc)
+    SELECT item_id, doc_id, CAST(start AS INTEGER) AS start, CAST(start + size AS INTEGER) AS "end", round(overlap, 9) AS overlap, round(ordered, 9) AS ordered, round(score, 9) AS score FROM z WHERE score >= 0.72
+    QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY round(score, 9) DESC, ordered DESC, start) = 1""",
+)
+def passage_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match.passages(documents(spark, sf_dir), benchmark(spark, sf_dir))
+    return found.select("item_id", "doc_id", "start", "end", *(F.round(c, 9).alias(c) for c in ("overlap", "ordered", "score")))
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item beside the document that it aligns with best."""
+    found = match.passages(documents(spark, sf_dir), benchmark(spark, sf_dir))
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
+    top = found.withColumn("r", F.row_number().over(w)).where("r = 1").select("item_id", "doc_id")
+    items = benchmark(spark, sf_dir).withColumnRenamed("text", "copied")
+    return top.join(items, "item_id").join(documents(spark, sf_dir).select("doc_id", F.col("text").alias("clean")), "doc_id")
+
+
+def _align(method: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = _requests(spark, sf_dir).select("item_id", "doc_id", match.matched(method, F.col("clean"), F.col("copied")).alias("o"))
+        return got.select("item_id", "doc_id", "o.status", "o.error", "o.start", "o.end", "o.start_score", "o.end_score", "o.text")
+
+    return run
+
+
+for _method in ("fuzzy", "token", "dmp", "hybrid"):
+    query(f"align_{_method}")(_align(_method))
+
+
+def _page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with a passage pasted from its middle."""
+    seen = F.regexp_replace(F.regexp_replace("html", "(?s)<(script|style)[^>]*>.*?</(script|style)>|<[^>]+>", " "), r"\s+", " ")
+    part = F.substring(seen, (F.length(seen) / 4).cast("int") + 1, (F.length(seen) / 2).cast("int"))
+    return html(spark, sf_dir).select(F.col("page_id").alias("req_id"), "html", part.alias("copied"), F.col("url").alias("title"), F.lit("en").alias("lang"))
+
+
+def _raw(method: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        got = _page_requests(spark, sf_dir).select("req_id", match.matched(method, F.col("html"), F.col("copied")).alias("o"))
+        return got.select("req_id", "o.status", "o.error", "o.start", "o.end", "o.start_score", "o.end_score", "o.text")
+
+    return run
+
+
+for _method in match.RAW:
+    query(f"align_{_method}")(_raw(_method))
+
+
+@query("best_alignment")
+def best_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best.best(best.prepared(_page_requests(spark, sf_dir)))
+
+
+@query("five_way_comparison")
+def five_way_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _page_requests(spark, sf_dir)
+    rows = best.prepared(asked).join(asked.select("req_id", "title", "lang"), "req_id")
+    return best.compared(rows)
+
+
+# -- cleaning ------------------------------------------------------------------------------------
+
+
+def _cleaned(mode: str) -> Query:
+    return lambda s, d: marked(s, d).select("doc_id", clean.clean(F.col("t"), mode).alias("value"))
+
+
+for _mode in text.fixed.MATH_MODES:
+    query(f"clean_extracts_{_mode}")(_cleaned(_mode))
+    query(f"clean_pages_{_mode}")(lambda s, d, m=_mode: html(s, d).select("page_id", clean.page(F.col("html"), m).alias("value")))
+
+query("clean_documents")(lambda s, d: clean.extracts(documents(s, d).select("doc_id", "text", F.concat(F.lit("Document "), F.col("doc_id")).alias("title"))).select("doc_id", "text"))
+query("cited_pages")(lambda s, d: html(s, d).select("page_id", clean.cited_page(F.col("html")).alias("value")))
+query("page_captions")(lambda s, d: html(s, d).select("page_id", clean.captions("html").alias("captions")))
+query("page_references")(lambda s, d: html(s, d).select("page_id", clean.references("html").alias("items")))
+query("visible_pages")(lambda s, d: html(s, d).select("page_id", clean.visible("html").alias("v")).select("page_id", "v.text", F.size("v.places").alias("n")))
+query("folded_texts")(lambda s, d: marked(s, d).select("doc_id", clean.folded("t").alias("v")).select("doc_id", "v.text", F.size("v.places").alias("n")))
+query("diff_forms")(lambda s, d: marked(s, d).select("doc_id", clean.diff_form("t").alias("v")).select("doc_id", "v.text", F.size("v.places").alias("n")))
+query("sentence_table")(lambda s, d: marked(s, d).select("doc_id", F.posexplode(clean.sentences("t")).alias("idx", "s")).select("doc_id", "idx", "s.*"))
+query("comparable_texts")(lambda s, d: marked(s, d).select("doc_id", clean.comparable("t").alias("value")))
+query("copied_math")(lambda s, d: marked(s, d).select("doc_id", clean.copied_math(F.concat(F.lit("x {\\displaystyle n_{1}} "), F.col("t"))).alias("value")))
+query("unified_diffs")(lambda s, d: documents(s, d).select("doc_id", clean.unified("text", F.upper(F.substring("text", 1, 200))).alias("lines")))
+query("likeness")(lambda s, d: documents(s, d).select("doc_id", clean.ratio(F.substring("text", 1, 300), F.substring("text", 20, 300)).alias("ratio")))
