@@ -152,11 +152,14 @@ def op9(docs: DataFrame) -> DataFrame:
 
 
 def known(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """docs without those called ``und`` or scored below min_score."""
+    """docs without those called ``und`` or scored below min_score. Where nothing can be learned only
+    documents without a letter go."""
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = {n: [c.lower() for c in names].index(n) for n in ("text",)}
     model = fit(docs)
+    if not model.langs:
+        return plain.where(F.col(f"c{at['text']}").rlike(r"\p{L}")).toDF(*names)
     rows = predict(plain.withColumnRenamed(f"c{at['text']}", "text"), model)
     kept = rows.where((F.col("lang_pred") != UND) & (F.col("score") >= min_score))
     return kept.drop("lang_pred", "score").toDF(*names)

@@ -163,15 +163,18 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
     index.sortWithinPartitions("shard", "start").select("shard", record.cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\x00\x00").text(f"{folder}/index")
 
 
-def mapped(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Memory maps (ids, records) of one shard's local files."""
-    import glob
+def mapped_shards(folder: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Memory maps (ids, records) of each shard of a local folder, in order."""
+    from pathlib import Path
 
-    ids, index = (glob.glob(f"{path}/{kind}/part-*")[0] for kind in ("ids", "index"))
-    return np.memmap(ids, "<u2", "r"), np.memmap(index, RECORD, "r")
+    found = []
+    for index in sorted(Path(folder, "index").glob("shard=*/part-*"), key=lambda p: int(p.parent.name[6:])):
+        (ids,) = Path(folder, "ids", index.parent.name).glob("part-*")
+        found.append((np.memmap(ids, "<u2", "r"), np.memmap(index, RECORD, "r")))
+    return found
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, local: bool | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids binary): every document from the files.
 
     Where the folder is a plain file system, tasks map the ids file that lies beside an index;
@@ -179,7 +182,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
     index = files.load(f"{folder}/index").select(shard.alias("shard"), F.col("content").alias("records"))
-    local = folder.startswith(("file:", "/"))
+    local = folder.startswith(("file:", "/")) if local is None else local
     ids = files.load(f"{folder}/ids").select(shard.alias("shard"), F.col("path" if local else "content").alias("ids"))
     pairs = index.join(ids, "shard")
 
