@@ -36,7 +36,10 @@ def test_run_is_the_plain_version(spark):
     for i in range(len(cleaned)):
         for j in range(i):
             far = np.unpackbits((fps[i] ^ fps[j]).view(np.uint8), bitorder="little")
-            if far.sum() <= near.max_bits and any(far[a:b].sum() <= 1 for a, b in near.cuts):
+            if far.sum() > near.max_bits or all(far[a:b].sum() > 1 for a, b in near.cuts):
+                continue
+            x, y = (set(simhash.shingles(cleaned[k][1], near.shingle)) for k in (i, j))
+            if far.sum() <= near.sure_bits or len(x & y) >= 0.8 * len(x | y):
                 a, b = sorted((group[i], group[j]))
                 group = [a if g == b else g for g in group]
     kept = [c for i, c in enumerate(cleaned) if group[i] == i]

@@ -6,11 +6,15 @@ filed under every variant with one bit left out; two such segments then agree in
 an equality join on (segment, left-out bit, rest) finds the pair, and the whole distance is checked.
 
 Equal fingerprints are one node before any of this. What a key gathers is joined inside a task
-into a spanning forest, never listed as pairs; a key with more than ``together`` fingerprints is
+into a spanning forest of least distances, never listed as pairs; a key with more than ``together`` fingerprints is
 cut into blocks, and each pair of blocks is a task of its own: nothing is dropped, memory is
 bounded, and no task holds a hot key. Components are then found by rounds of minimum-label joins
 over tables.
 
+Where a fingerprint only estimates the wanted similarity, links beyond ``sure_bits`` are checked
+on the whole texts: shared shingles over all shingles, each counted once. Of each key only the links
+of its forest are checked, the closest between any two parts of it.
+
 Null text counts as empty; a text without words has fingerprint zero and links like any other.
 Null doc_id: keeps its row, its links count, and it is never a component's id unless all its
 members are null. Repeated rows give repeated rows. An empty table gives an empty result.
@@ -21,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +39,16 @@ _BYTES = ((np.arange(256)[:, None] >> np.arange(8)[None]) & 1).astype(np.int64)
 
 @dataclass(frozen=True)
 class Near:
-    """shingle: words in each; bits: of the fingerprint, 64 for each seed; segments: pieces that
-    are indexed, of bits // segments bits or one more; max_bits: differing bits that still link."""
+    """shingle: words in each; bits: of the fingerprint, 64 for each word; segments: pieces that
+    are indexed, of bits // segments bits or one more; max_bits: differing bits that may link;
+    sure_bits: as many link unchecked; similarity: Jaccard similarity that the others need."""
 
     shingle: int = 3
     bits: int = 64
     segments: int = 2
     max_bits: int = 2
+    sure_bits: int = 2
+    similarity: float = 0.0
     together: int = 4096
 
     @property
@@ -55,33 +63,51 @@ class Near:
 
 #: Links of 2 bits on 3-word shingles, all of them.
 STRICT = Near()
-#: 5-word shingles at an estimated Jaccard similarity of 0.8: that is a cosine of 2J / (1 + J) and
-#: so 15.1 % of 240 bits. Pairs within 19 bits are found for certain; beyond, a pair is found if
-#: one of ten segments differs by at most one bit: about 0.998 at 0.95, 0.96 at 0.9, 0.65 at 0.8.
-SIMILAR = Near(shingle=5, bits=240, segments=10, max_bits=36)
+#: 5-word shingles at a Jaccard similarity of 0.8, where 36 of 240 bits differ on average, 5.5 the
+#: deviation. Up to 20 bits link unchecked, up to 52 after a check of the texts. Pairs within 19 bits
+#: are found for certain; beyond, a pair is found if one of ten segments differs by at most one bit.
+SIMILAR = Near(shingle=5, bits=240, segments=10, max_bits=52, sure_bits=20, similarity=0.8)
 
+#: Fixed odd numbers that make further words of a fingerprint from a shingle's hash.
+_ODD = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
-def fingerprint(text: str | None, near: Near = STRICT) -> np.ndarray:
-    """The fingerprint of a whole text as bits // 64 (rounded up) unsigned words; bit i is 1 if set
-    in over half of the shingles' hashes. A-Z are lower-cased; shingles count as often as they occur."""
-    from xxhash import xxh64_intdigest
 
-    n_words = -(-near.bits // 64)
-    out = np.zeros(n_words, np.uint64)
+def _turned(h: np.ndarray, word: int) -> np.ndarray:
+    """Hashes for this word of a fingerprint: the first word's are the shingles' own."""
+    if not word:
+        return h
+    h = h * _ODD[word]
+    h = (h ^ (h >> np.uint64(32))) * _ODD[0]
+    return h ^ (h >> np.uint64(29))
+
+
+def shingles(text: str | None, k: int) -> list[bytes]:
+    """The shingles of a whole text, repeats included; A-Z are lower-cased."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return out
+        return []
     line, ends, at = b" ".join(parts), [], -1
     for p in parts:
         at += len(p) + 1
         ends.append(at)
-    k = min(near.shingle, len(parts))
+    k = min(k, len(parts))
     starts = [0, *(e + 1 for e in ends[:-1])]
-    pieces = [line[a:b] for a, b in zip(starts, ends[k - 1 :], strict=False)]
+    return [line[a:b] for a, b in zip(starts, ends[k - 1 :], strict=False)]
+
+
+def fingerprint(text: str | None, near: Near = STRICT) -> np.ndarray:
+    """The fingerprint of a whole text as bits // 64 (rounded up) unsigned words; bit i is 1 if set
+    in over half of the shingles' hashes. A-Z are lower-cased; shingles count as often as they occur."""
+    from xxhash import xxh64_intdigest
+
+    n_words = -(-near.bits // 64)
+    out = np.zeros(n_words, np.uint64)
+    pieces = shingles(text, near.shingle)
+    if not pieces:
+        return out
+    hashes = np.fromiter(map(xxh64_intdigest, pieces, repeat(42)), np.uint64, len(pieces))
     for w in range(n_words):
-        seed = 42 + w
-        h = np.fromiter((xxh64_intdigest(p, seed) for p in pieces), np.uint64, len(pieces))
-        columns = h.view(np.uint8).reshape(-1, 8)
+        columns = _turned(hashes, w).view(np.uint8).reshape(-1, 8)
         counts = np.concatenate([np.bincount(columns[:, j], minlength=256) @ _BYTES for j in range(8)])
         out[w] = np.packbits((2 * counts > len(pieces)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
     if near.bits % 64:
@@ -89,14 +115,18 @@ def fingerprint(text: str | None, near: Near = STRICT) -> np.ndarray:
     return out
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    return unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+
+
 def fingerprints(docs: DataFrame, near: Near = STRICT) -> DataFrame:
-    """(doc_id, fp binary): little-endian unsigned words."""
+    """(doc_id, fp binary, mark): little-endian unsigned words, and a hash by which to find the text."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(t, near).tobytes() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary()), batch.column("mark")], ["doc_id", "fp", "mark"])
 
-    return by_arrow(unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, fp binary")
+    return by_arrow(_marked(docs), work, "doc_id long, fp binary, mark long")
 
 
 def _words(names: list[bytes], near: Near) -> np.ndarray:
@@ -125,45 +155,46 @@ def _filed(nodes: DataFrame, near: Near) -> DataFrame:
     return by_arrow(nodes, work, "key long, fp binary")
 
 
-def _forest(fps: np.ndarray, max_bits: int, halves: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the graph of fingerprints within max_bits; with halves, only
-    pairs across the two halves are looked at. Rows at a time: memory follows the group."""
-    n, found = len(fps), []
-    parent = np.arange(n)
-    for i in range(n - 1):
-        rest = fps[i + 1 :]
-        far = np.bitwise_count(rest[:, 0] ^ fps[i, 0]).astype(np.int16)
+def _forest(fps: np.ndarray, max_bits: int, halves: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Edges (i, j, differing bits) of a spanning forest of least distances of the graph of
+    fingerprints within max_bits; with halves, only pairs across the two halves are looked at. It
+    grows from a row by the closest row that is left: memory follows the group."""
+    n, found, none = len(fps), [], 64 * fps.shape[1] + 1
+    if n == 2:
+        far = int(np.bitwise_count(fps[0] ^ fps[1]).sum())
+        return [(0, 1, far)] if far <= max_bits and (halves is None or halves[0] != halves[1]) else []
+    best, via, left, i = np.full(n, none, np.int16), np.zeros(n, np.int64), np.arange(1, n), 0
+    while len(left):
+        far = np.bitwise_count(fps[left, 0] ^ fps[i, 0]).astype(np.int16)
         for w in range(1, fps.shape[1]):
-            far += np.bitwise_count(rest[:, w] ^ fps[i, w])
-        near = np.flatnonzero(far <= max_bits) + i + 1
-        if halves is not None and len(near):
-            near = near[halves[near] != halves[i]]
-        if len(near):
-            roots = np.unique(parent[near])
-            roots = roots[roots != parent[i]]
-            for r in roots:
-                j = near[parent[near] == r][0]
-                found.append((i, int(j)))
-            if len(roots):
-                parent[np.isin(parent, roots)] = parent[i]
+            far += np.bitwise_count(fps[left, w] ^ fps[i, w])
+        closer = far < best[left]
+        if halves is not None:
+            closer &= halves[left] != halves[i]
+        best[left[closer]], via[left[closer]] = far[closer], i
+        at = int(np.argmin(best[left]))
+        i = int(left[at])
+        if best[i] <= max_bits:
+            found.append((int(via[i]), i, int(best[i])))
+        left = np.delete(left, at)
     return found
 
 
 def _edges(filed: DataFrame, near: Near, blocks: bool) -> DataFrame:
-    """Rows sorted by key become (a, b, key, big): links of forests, or, without blocks, the
+    """Rows sorted by key become (a, b, far, key, big): links of forests, or, without blocks, the
     members of a key that holds too many (a is the fingerprint, big is set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         said: set[tuple[bytes, bytes]] = set()
 
         def group(key: int, names: list[bytes], sides: list[np.ndarray]) -> Iterator[tuple]:
-            for i, j in _forest(_words(names, near), near.max_bits, np.concatenate(sides) if blocks and (key & 1) else None):
+            for i, j, far in _forest(_words(names, near), near.max_bits, np.concatenate(sides) if blocks and (key & 1) else None):
                 edge = tuple(sorted((names[i], names[j])))
                 if edge not in said:
                     if len(said) > 200_000:
                         said.clear()
                     said.add(edge)
-                    yield (*edge, 0, False)
+                    yield (*edge, far, 0, False)
 
         def rows() -> Iterator[tuple]:
             now, raw, sides, held, over = None, [], [], 0, False
@@ -186,7 +217,7 @@ def _edges(filed: DataFrame, near: Near, blocks: bool) -> DataFrame:
                         over = True
                     if over:
                         for name in raw:
-                            yield name, None, int(now), True
+                            yield name, None, 0, int(now), True
                         raw, sides = [], []
             if held > 1 and not over:
                 yield from group(now, raw, sides)
@@ -200,19 +231,20 @@ def _edges(filed: DataFrame, near: Near, blocks: bool) -> DataFrame:
         if out:
             yield _batch(out)
 
-    return filed.mapInArrow(run, "a binary, b binary, key long, big boolean")
+    return filed.mapInArrow(run, "a binary, b binary, far int, key long, big boolean")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, key, big = zip(*rows, strict=True)
+    a, b, far, key, big = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(key, pa.int64()), pa.array(big, pa.bool_())],
-        ["a", "b", "key", "big"],
+        [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(far, pa.int32()), pa.array(key, pa.int64()), pa.array(big, pa.bool_())],
+        ["a", "b", "far", "key", "big"],
     )
 
 
 def links(nodes: DataFrame, near: Near = STRICT) -> DataFrame:
-    """(a, b): links between different fingerprints that give the same components as all links."""
+    """(a, b, far): links between different fingerprints that give the same components as all links
+    that no check can undo."""
     filed = _filed(nodes, near).repartition("key").sortWithinPartitions("key")
     found = table(_edges(filed, near, False), "links")
     big = found.where("big").select("key", F.col("a").alias("fp"))
@@ -228,7 +260,33 @@ def links(nodes: DataFrame, near: Near = STRICT) -> DataFrame:
         (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
     across = _edges(pairs.repartition("key").sortWithinPartitions("key", "side"), near, True)
-    return found.where("not big").select("a", "b").union(across.select("a", "b")).distinct()
+    return found.where("not big").select("a", "b", "far").union(across.select("a", "b", "far")).distinct()
+
+
+def checked(found: DataFrame, nodes: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
+    """(a, b): the links within sure_bits, and those of the others whose texts are similar enough.
+
+    nodes tell of each name the doc_id and the mark of one of its texts; only these texts move."""
+    if near.sure_bits >= near.max_bits:
+        return found.select("a", "b")
+    found = table(found, "found")
+    unsure = found.where(F.col("far") > near.sure_bits).select("a", "b")
+    ends = unsure.select(F.col("a").alias("name")).union(unsure.select("b")).distinct()
+    wanted = table(ends.join(nodes.select("name", "least", F.col("mark").alias("wanted")), "name"), "wanted")
+    rows = _marked(docs)
+    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["least"]) & (rows["mark"] == wanted["wanted"]))
+    texts = table(texts.groupBy("name").agg(F.first("text").alias("text")), "texts")
+    one, two = texts.select(F.col("name").alias("a"), F.col("text").alias("s")), texts.select(F.col("name").alias("b"), F.col("text").alias("t"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            x, y = set(shingles(s, near.shingle)), set(shingles(t, near.shingle))
+            keep.append(len(x & y) >= near.similarity * len(x | y))
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    alike = by_arrow(unsure.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "s", "t"), work, "a binary, b binary")
+    return found.where(F.col("far") <= near.sure_bits).select("a", "b").union(alike)
 
 
 def components(edges: DataFrame, label: str = "components", rounds: int = 200) -> DataFrame:
@@ -266,13 +324,16 @@ def classes(docs: DataFrame, near: Near = STRICT) -> DataFrame:
     sign = F.lit(-(1 << 63))
     number = F.unhex(F.lpad(F.hex(F.coalesce(F.col("least"), F.lit(0)).bitwiseXOR(sign)), 16, "0"))
     name = F.concat(F.when(F.col("least").isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), number, F.col("fp"))
-    nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", name.alias("name")), "nodes")
-    roots = table(components(links(nodes.select(F.col("name").alias("fp")), near)), "roots").select(F.col("fp").alias("name"), "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
+    nodes = fps.groupBy("fp").agg(first.alias("first")).select("fp", F.col("first.doc_id").alias("least"), F.col("first.mark").alias("mark"))
+    nodes = table(nodes.withColumn("name", name), "nodes")
+    found = checked(links(nodes.select(F.col("name").alias("fp")), near), nodes, docs, near)
+    roots = table(components(found), "roots").select(F.col("fp").alias("name"), "root")
     root = F.coalesce("root", "name")
     # 16 hex digits as an unsigned number, brought back to the signed one
     least = F.conv(F.hex(F.substring(root, 2, 8)), 16, -10).cast("long").bitwiseXOR(sign)
     named = nodes.join(roots, "name", "left").select("fp", F.when(F.hex(F.substring(root, 1, 1)) == "00", least).alias("component_id"))
-    return fps.join(named, "fp")
+    return fps.drop("mark").join(named, "fp")
 
 
 def hexed(fp: str, bits: int = 64):
