@@ -70,6 +70,20 @@ def blocked(items: DataFrame, postings: DataFrame, most: int = BLOCKING) -> Data
     return postings.join(rarest, "value").select("item_id", "doc_id").distinct()
 
 
+def reaching(items: DataFrame, postings: DataFrame, least: float = 0.72) -> DataFrame:
+    """(item_id, doc_id): all documents that an item can have the least score with. A document without
+    any of some words has an overlap of at most the other words' share of the item's weight (of words
+    that occur once), so an item's rarest words are taken until that is below what the score needs."""
+    spread = postings.groupBy("value").agg(F.count("*").alias("df"))
+    own = items.groupBy("item_id", "value").agg(F.count("*").alias("a")).join(spread, "value", "left")
+    own = own.withColumn("w", F.col("a") * text.weight(F.col("value"), F.lit(1)))
+    item = Window.partitionBy("item_id")
+    w = item.orderBy(F.coalesce("df", F.lit(0)), "value").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("before", F.sum("w").over(w) - F.col("w")).withColumn("whole", F.sum("w").over(item))
+    telling = own.where(F.col("before") <= (1 - (least - 0.35) / 0.65 + 1e-6) * F.col("whole")).select("item_id", "value")
+    return postings.join(telling, "value").select("item_id", "doc_id").distinct()
+
+
 def candidates(items: DataFrame, postings: DataFrame, sizes: DataFrame, pairs: DataFrame, most: int = CANDIDATES) -> DataFrame:
     """(item_id, doc_id, start, votes, order): windows that the rare words of an item vote for, at
     most ``most`` of a pair; ties go to the start voted for first. sizes: (doc_id, size) in tokens."""
@@ -120,6 +134,6 @@ def passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: flo
     wanted = mine.select("value").distinct()
     words = arrays.select("doc_id", F.posexplode("values").alias("pos", "value")).join(wanted, "value", "left_semi")
     found = segment.postings(words)
-    pairs = blocked(mine, found)
+    pairs = reaching(mine, found, least)
     some = candidates(mine, found, arrays.select("doc_id", F.size("values").alias("size")), pairs)
     return best(scored(some, mine, found, arrays, least))
