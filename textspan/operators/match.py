@@ -126,9 +126,13 @@ def best(found: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: float = 0.72) -> DataFrame:
-    """Where each item (item_id, text) lies in the documents (doc_id, text): the best window of each
-    pair that passes, from tokens to rank in native operators."""
-    mine = segment.tokens(items, "item_id").where(F.col("pos") < window).select("item_id", F.col("pos").alias("apos"), "value")
+    """Where each item (item_id, text) lies in the documents (doc_id, text): the best window, in each
+    pair that passes, of the first of the item's chunks that passes there, from tokens to rank in
+    native operators. Chunks hold ``window`` tokens; an odd one counts only with 8 or more."""
+    spread = segment.tokens(items, "item_id").where("item_id is not null").withColumn("chunk", F.floor(F.col("pos") / window))
+    sizes = Window.partitionBy("item_id", "chunk")
+    spread = spread.withColumn("held", F.count("*").over(sizes)).where("chunk = 0 or held >= 8")
+    mine = spread.select(F.struct("item_id", "chunk").alias("item_id"), (F.col("pos") % window).alias("apos"), "value")
     arrays = docs.select("doc_id", F.transform(F.regexp_extract_all(segment._masked(F.col("text")), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda v: F.lower(v)).alias("values"))
     # only documents' words that some item has are exploded
     wanted = mine.select("value").distinct()
@@ -136,4 +140,6 @@ def passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: flo
     found = segment.postings(words)
     pairs = reaching(mine, found, least)
     some = candidates(mine, found, arrays.select("doc_id", F.size("values").alias("size")), pairs)
-    return best(scored(some, mine, found, arrays, least))
+    placed = best(scored(some, mine, found, arrays, least)).withColumn("chunk", F.col("item_id.chunk")).withColumn("item_id", F.col("item_id.item_id"))
+    first = Window.partitionBy("item_id", "doc_id").orderBy("chunk")
+    return placed.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "chunk")
