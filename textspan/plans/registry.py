@@ -536,5 +536,5 @@ query("diff_forms")(lambda s, d: marked(s, d).select("doc_id", clean.diff_form("
 query("sentence_table")(lambda s, d: marked(s, d).select("doc_id", F.posexplode(clean.sentences("t")).alias("idx", "s")).select("doc_id", "idx", "s.*"))
 query("comparable_texts")(lambda s, d: marked(s, d).select("doc_id", clean.comparable("t").alias("value")))
 query("copied_math")(lambda s, d: marked(s, d).select("doc_id", clean.copied_math(F.concat(F.lit("x {\\displaystyle n_{1}} "), F.col("t"))).alias("value")))
-query("unified_diffs")(lambda s, d: documents(s, d).select("doc_id", clean.unified("text", F.upper(F.substring("text", 1, 200))).alias("lines")))
-query("likeness")(lambda s, d: documents(s, d).select("doc_id", clean.ratio(F.substring("text", 1, 300), F.substring("text", 20, 300)).alias("ratio")))
+query("unified_diffs")(lambda s, d: marked(s, d).select("doc_id", clean.unified("t", clean.clean(F.col("t"))).alias("lines")))
+query("likeness")(lambda s, d: marked(s, d).select("doc_id", clean.ratio("t", clean.clean(F.col("t"))).alias("ratio")))
