@@ -59,21 +59,24 @@ def _ones(i: int) -> int:
     return (i ^ (i + 1)).bit_length() - 1
 
 
-def _lead(text: Column) -> Column:
-    """The first seven bytes as a number of the same order; null below all."""
-    head = F.rpad(F.hex(F.substring(F.encode(text, "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long") + 1, F.lit(0))
+def _text_bounds(rows: DataFrame, name: str, steps: list[float], n: int) -> list[str | None]:
+    """The values at these shares of the rows in code-point order, null first; counted by value, so that
+    only values that differ are ordered."""
+    order = Window.orderBy(F.col(name).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    upto = rows.groupBy(name).count().withColumn("upto", F.sum("count").over(order))
+    least = [F.min(F.when(F.col("upto") >= step * n, F.struct(F.col(name).isNotNull().alias("some"), F.col(name).alias("value")))) for step in steps]
+    return [x["value"] for x in upto.agg(*least).first() if x is not None]
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32 and one number for each dimension): what is moved of a row."""
+    """(doc_id, size, text_crc32 and one value for each dimension): what is moved of a row."""
     rows = unambiguous(docs, "doc_id", "text", "lang", "source")
     return rows.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32"),
-        _lead(F.col("source")).alias("q0"),
-        _lead(F.col("lang")).alias("q1"),
+        F.col("source").alias("q0"),
+        F.col("lang").alias("q1"),
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("q2"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("q3"),
     )
@@ -84,10 +87,12 @@ def shard(docs: DataFrame, shards: int = 16, bits: int = BITS) -> DataFrame:
     rows = table(described(docs), "described")
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     # a few numbers: the bounds of each dimension's steps, and the row count
-    found = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(f"q{d}", steps, 10_000).alias(f"b{d}") for d in range(DIMS))).first()
+    found = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(f"q{d}", steps, 10_000).alias(f"b{d}") for d in (2, 3))).first()
     n = found["n"]
+    bounds = [*(_text_bounds(rows, f"q{d}", steps, n) for d in (0, 1)), found["b2"] or [], found["b3"] or []]
+    above = lambda c, b: c.isNotNull() if b is None else c > F.lit(b)
     coords = [
-        sum((F.when(F.col(f"q{d}") > b, 1).otherwise(0) for b in sorted(set(found[f"b{d}"] or []))), F.lit(0)) for d in range(DIMS)
+        sum((F.when(above(F.col(f"q{d}"), b), 1).otherwise(0) for b in set(bounds[d])), F.lit(0)) for d in range(DIMS)
     ]
     celled = rows.withColumn("cell", sum((c * (1 << bits * d) for d, c in enumerate(coords)), F.lit(0)).cast("int")).drop(*(f"q{d}" for d in range(DIMS)))
     # a row for each cell that occurs, 2 ** (DIMS * bits) at most
