@@ -50,6 +50,15 @@ HEAVY_SIGNS = "+-=*/^_{}\\∝×÷√∑∫≤≥≈≠−"
 MATH_CALL = r"\b(?:Pr|log|sin|cos|tan|exp|token)\s*\("
 ALWAYS_JOINS = r"\b(?:al|e\.g|i\.e)\.$"
 MAY_JOIN = r"\b(?:etc|vs|fig|no|vol|pp)\.$"
+FLAT_POWER = r"(\b\d+)\s+\(=(\d{2,6})\)"
+HEADING_LINE = r"(?m)\n+[^\S\n]*(==[^\S\n]+[^\n]+?[^\S\n]+==)[^\S\n]*$"
+#: (pattern, replacement) for a symbol before its own formula, in this order.
+SYMBOL_TWINS = (
+    (r"\b([A-Za-z]{4,})([A-Za-z])\s+\$\2\$", r"\1 $\2$"),
+    (r"\b([A-Za-z]\([^$\n]+?\))\s+\$\1\$", r"$\1$"),
+    (r"\b((?=\w{1,3}\s|[A-Za-z]+[\d_]|(?i:" + "|".join(sorted(FORMULA_NAMES)) + r")\s)[A-Za-z][A-Za-z0-9_]*)\s+\$\1\$", r"$\1$"),
+    (r"(\$[A-Za-z][A-Za-z0-9_]*\$)\s+([\"”])", r"\1\2"),
+)
 RAW_ABBREVIATIONS = frozenset({"al", "e.g", "i.e", "etc", "fig", "vs"})
 
 # The columns of a comparison row, in order.
