@@ -42,10 +42,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
+#: Paths of the tables of each session's work, until they are released.
+_MADE: dict[str, list[str]] = {}
+
+
+def table(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Cut lineage: write to the shared folder and read back, so that a lost executor costs
     no more than the stages since. (Compressed columns, where checkpoint() keeps raw rows.)
-    The shuffle files behind it are of no more use and go."""
+    The shuffle files behind it are of no more use and go. ``keep``: release_all() leaves it."""
     spark = df.sparkSession
     path = scratch(spark, label)
     before = spark.conf.get(_CLEANUP, None)
@@ -54,7 +58,33 @@ def table(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    if not keep:
+        _MADE.setdefault(shared_folder(spark), []).append(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._textspan_path = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that are of no more use: whatever came of them has been written."""
+    for t in tables:
+        path = getattr(t, "_textspan_path", None)
+        if path:
+            _delete(t.sparkSession, path)
+            made = _MADE.get(shared_folder(t.sparkSession), [])
+            if path in made:
+                made.remove(path)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete all tables made so far: for a caller that has written its results."""
+    for path in _MADE.pop(shared_folder(spark), []):
+        _delete(spark, path)
 
 
 def unambiguous(df: DataFrame, *names: str) -> DataFrame:

@@ -11,14 +11,6 @@ cut into blocks, and each pair of blocks is a task of its own: nothing is droppe
 bounded, and no task holds a hot key. Components are then found by rounds of minimum-label joins
 over tables.
 
-Where a fingerprint only estimates the wanted similarity, links within ``sure_bits`` are joined by the
-estimate, and every other pair of texts whose shingles (64-bit hashes, each counted once) have the
-Jaccard similarity is found by an exact prefix join: of two such sets, both hold a common hash among
-their first |x| - ceil(s |x|) + 1 in any one order (seldom hashes first, by a sample that only moves
-work). Pairs that share a key are checked in rounds over widening distances within the key, and a
-pair is passed over only if links that did pass join its two texts already: what is left at the end
-holds no unchecked pair between two components.
-
 Null text counts as empty; a text without words has fingerprint zero and links like any other.
 Null doc_id: keeps its row, its links count, and it is never a component's id unless all its
 members are null. Repeated rows give repeated rows. An empty table gives an empty result.
@@ -26,9 +18,8 @@ members are null. Repeated rows give repeated rows. An empty table gives an empt
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 from itertools import repeat
 
@@ -46,13 +37,12 @@ _BYTES = ((np.arange(256)[:, None] >> np.arange(8)[None]) & 1).astype(np.int64)
 class Near:
     """shingle: words in each; bits: of the fingerprint, 64 for each word; segments: pieces that
     are indexed, of bits // segments bits or one more; max_bits: differing bits that may link;
-    sure_bits: as many link unchecked where there is a similarity: Jaccard similarity that any others need."""
+    similarity: Jaccard similarity that a link needs besides (see ``near``), if any."""
 
     shingle: int = 3
     bits: int = 64
     segments: int = 2
     max_bits: int = 2
-    sure_bits: int = 2
     similarity: float = 0.0
     together: int = 4096
 
@@ -68,9 +58,9 @@ class Near:
 
 #: Links of 2 bits on 3-word shingles, all of them.
 STRICT = Near()
-#: 5-word shingles at a Jaccard similarity of 0.8: every such pair links, whatever its bits. Up to 20
-#: bits link unchecked; pairs within 19 bits are found for certain.
-SIMILAR = Near(shingle=5, bits=240, segments=10, max_bits=52, sure_bits=20, similarity=0.8)
+#: 5-word shingles at a Jaccard similarity of 0.8: fingerprints bring the closest texts together,
+#: ``near`` finds the rest and checks them all.
+SIMILAR = Near(shingle=5, bits=96, segments=4, max_bits=28, similarity=0.8)
 
 #: Fixed odd numbers that make further words of a fingerprint from a shingle's hash.
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -85,9 +75,14 @@ def _turned(h: np.ndarray, word: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def words(text: str | None) -> list[bytes]:
+    """The words of a whole text; A-Z are lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def shingles(text: str | None, k: int) -> list[bytes]:
     """The shingles of a whole text, repeats included; A-Z are lower-cased."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    parts = words(text)
     if not parts:
         return []
     line, ends, at = b" ".join(parts), [], -1
@@ -99,7 +94,7 @@ def shingles(text: str | None, k: int) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts, ends[k - 1 :], strict=False)]
 
 
-def _hashes(text: str | None, near: Near) -> np.ndarray:
+def hashes(text: str | None, near: Near) -> np.ndarray:
     """The hashes of a whole text's shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
@@ -107,7 +102,7 @@ def _hashes(text: str | None, near: Near) -> np.ndarray:
     return np.fromiter(map(xxh64_intdigest, pieces, repeat(42)), np.uint64, len(pieces))
 
 
-def _folded(hashes: np.ndarray, near: Near) -> np.ndarray:
+def folded(hashes: np.ndarray, near: Near) -> np.ndarray:
     n_words = -(-near.bits // 64)
     out = np.zeros(n_words, np.uint64)
     if not len(hashes):
@@ -124,82 +119,42 @@ def _folded(hashes: np.ndarray, near: Near) -> np.ndarray:
 def fingerprint(text: str | None, near: Near = STRICT) -> np.ndarray:
     """The fingerprint of a whole text as bits // 64 (rounded up) unsigned words; bit i is 1 if set
     in over half of the shingles' hashes. A-Z are lower-cased; shingles count as often as they occur."""
-    return _folded(_hashes(text, near), near)
-
-
-def _marked(docs: DataFrame) -> DataFrame:
-    return unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("mark"))
+    return folded(hashes(text, near), near)
 
 
 def fingerprints(docs: DataFrame, near: Near = STRICT) -> DataFrame:
-    """(doc_id, fp binary, mark, size, keys): little-endian unsigned words, a hash by which to find the
-    text, how many shingles differ and, where texts are compared, the first hashes of the prefix join."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, near)) if near.similarity else None
-
-    def prefix(hashes: np.ndarray) -> bytes:
-        hot, counts = shared.value
-        if len(hot) and len(hashes):
-            at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-            hashes = hashes[np.argsort(np.where(hot[at] == hashes, counts[at], 0), kind="stable")]
-        return hashes[: len(hashes) - math.ceil(near.similarity * len(hashes) - 1e-9) + 1].tobytes()
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps, sizes, keys = [], [], []
-        for t in batch.column("text").to_pylist():
-            hashes = _hashes(t, near)
-            fps.append(_folded(hashes, near).tobytes())
-            if shared is not None:
-                hashes = np.unique(hashes)
-                keys.append(prefix(hashes))
-            else:
-                keys.append(None)
-            sizes.append(len(hashes))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(fps, pa.binary()), batch.column("mark"), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], ["doc_id", "fp", "mark", "size", "keys"]
-        )
-
-    return by_arrow(_marked(docs), work, "doc_id long, fp binary, mark long, size int, keys binary")
-
-
-def _frequent(docs: DataFrame, near: Near, sample: int = 20_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in rising order, and how often a sample of texts holds each: they come last in the order
-    of the prefix join. Which ones are known moves work, not results."""
-    rows = _marked(docs)
-    step = max(1, rows.count() // sample)
+    """(doc_id, fp binary: little-endian unsigned words)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(_hashes(t, near)) for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["hash"])
+        fps = [fingerprint(t, near).tobytes() for t in batch.column("text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
-    counted = by_arrow(rows.where(F.pmod("mark", F.lit(step)) == 0).dropDuplicates(["mark"]), work, "hash long").groupBy("hash").count()
-    top = counted.where(F.col("count") > 1).orderBy(F.desc("count"), "hash").limit(most).collect()
-    hot, counts = np.array([r["hash"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
-    at = np.argsort(hot)
-    return hot[at], counts[at]
+    return by_arrow(unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, fp binary")
 
 
-def _words(names: list[bytes], near: Near) -> np.ndarray:
+def as_words(names: list[bytes], near: Near) -> np.ndarray:
     """The fingerprints at the ends of names, a row of words each."""
     width = 8 * -(-near.bits // 64)
     return np.frombuffer(b"".join([x[-width:] for x in names]), np.uint64).reshape(len(names), -1)
 
 
+def variants(fps: np.ndarray, near: Near) -> np.ndarray:
+    """For each fingerprint a key for each variant with one bit of one segment left out."""
+    bits, keys = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little"), []
+    for s, (a, b) in enumerate(near.cuts):
+        value = bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64))
+        drop = np.arange(b - a, dtype=np.int64)
+        keys.append(((value[:, None] & ~(1 << drop)[None]) << 16) | ((s << 8) | drop)[None])
+    return np.concatenate(keys, axis=1)
+
+
 def _filed(nodes: DataFrame, near: Near) -> DataFrame:
     """A row (key, fp) for each variant with one bit left out. fp is a name that ends in a fingerprint."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = _words(batch.column("fp").to_pylist(), near)
-        bits = np.unpackbits(raw.view(np.uint8), axis=1, bitorder="little")
-        keys = []
-        for s, (a, b) in enumerate(near.cuts):
-            value = bits[:, a:b].astype(np.int64) @ (1 << np.arange(b - a, dtype=np.int64))
-            drop = np.arange(b - a, dtype=np.int64)
-            keys.append(((value[:, None] & ~(1 << drop)[None]) << 16) | ((s << 8) | drop)[None])
-        keys = np.concatenate(keys, axis=1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(keys.ravel()), pa.array(batch.column("fp").to_pylist(), pa.binary()).take(pa.array(np.repeat(np.arange(len(raw)), keys.shape[1])))],
-            ["key", "fp"],
-        )
+        keys = variants(as_words(batch.column("fp").to_pylist(), near), near)
+        at = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+        return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("fp").take(at)], ["key", "fp"])
 
     return by_arrow(nodes, work, "key long, fp binary")
 
@@ -237,7 +192,7 @@ def _edges(filed: DataFrame, near: Near, blocks: bool) -> DataFrame:
         said: set[tuple[bytes, bytes]] = set()
 
         def group(key: int, names: list[bytes], sides: list[np.ndarray]) -> Iterator[tuple]:
-            for i, j, far in _forest(_words(names, near), near.max_bits, np.concatenate(sides) if blocks and (key & 1) else None):
+            for i, j, far in _forest(as_words(names, near), near.max_bits, np.concatenate(sides) if blocks and (key & 1) else None):
                 edge = tuple(sorted((names[i], names[j])))
                 if edge not in said:
                     if len(said) > 200_000:
@@ -311,150 +266,12 @@ def links(nodes: DataFrame, near: Near = STRICT) -> DataFrame:
     return found.where("not big").select("a", "b", "far").union(across.select("a", "b", "far")).distinct()
 
 
-#: Rows of whole keys that are looked at together, and pairs that go out in a batch.
-_ROWS, _PAIRS = 200_000, 100_000
-
-
-def _shared(items: DataFrame) -> DataFrame:
-    """(key, mark, at, size) of the keys that two or more texts hold; at: place in the order."""
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [np.frombuffer(k, np.int64) for k in batch.column("keys").to_pylist()]
-        n = [len(k) for k in keys]
-        own = [np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("mark", "size")]
-        at = np.concatenate([np.arange(x, dtype=np.int32) for x in n])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(own[0]), pa.array(at), pa.array(own[1])], ["key", "mark", "at", "size"])
-
-    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # a batch's last row waits for the next batch, which tells whether its key goes on
-            if last is not None:
-                batch = pa.Table.from_batches([last[1], batch]).combine_chunks().to_batches()[0]
-            key = batch.column("key").to_numpy()
-            same = key[1:] == key[:-1]
-            keep = np.concatenate([[last is not None and last[0] == key[0]], same])
-            keep[:-1] |= same
-            yield batch.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
-            before = bool(len(key) > 1 and same[-1]) or (last is not None and len(key) == 1 and last[0] == key[0])
-            last = (key[-1] if before else None, batch.slice(len(key) - 1))
-        if last is not None and last[0] is not None:
-            yield last[1]
-
-    schema = "key long, mark long, at int, size int"
-    return by_arrow(items.select("mark", "size", "keys"), spread, schema).repartition("key").sortWithinPartitions("key").mapInArrow(several, schema)
-
-
-def _pairs(rows: DataFrame, near: Near, low: int, high: int) -> DataFrame:
-    """(x, y): marks of texts of different roots that share a key, low to high - 1 rows apart in the
-    order of sizes within the key, and whose sizes and places allow the similarity."""
-    least, part = near.similarity, near.similarity / (1 + near.similarity)
-
-    def met(key: np.ndarray, mark: np.ndarray, at: np.ndarray, size: np.ndarray, root: np.ndarray) -> Iterator[pa.RecordBatch]:
-        i, held, n = np.arange(len(key)), [], 0
-        if low > 1:
-            i = i[: max(0, len(key) - low + 1)]
-            i = i[key[i] == key[i + low - 1]]
-        for d in range(low, high):
-            i = i[i + d < len(key)]
-            i = i[key[i] == key[i + d]]
-            # sizes rise within a key: what is too long now is so at every greater distance
-            i = i[size[i] >= least * size[i + d] - 1e-9]
-            if not len(i):
-                break
-            j = i + d
-            rest = np.minimum(size[i] - at[i], size[j] - at[j])
-            good = (root[i] != root[j]) & (rest >= part * (size[i] + size[j]) - 1e-9)
-            a, b = mark[i[good]], mark[j[good]]
-            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-            n += len(a)
-            if n >= _PAIRS:
-                yield out(held)
-                held, n = [], 0
-        if n:
-            yield out(held)
-
-    def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        both = np.unique(np.concatenate(held), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["x", "y"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, held, n = ("key", "mark", "at", "size", "root"), [], 0
-        for batch in batches:
-            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
-            n += batch.num_rows
-            if n >= _ROWS:
-                all_rows = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.searchsorted(all_rows[0], all_rows[0][-1]))
-                yield from met(*(c[:cut] for c in all_rows))
-                held, n = [[c[cut:] for c in all_rows]], len(all_rows[0]) - cut
-        if n:
-            yield from met(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    return rows.select("key", "mark", "at", "size", "root").mapInArrow(run, "x long, y long").distinct()
-
-
-def _alike(pairs: DataFrame, items: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    """The pairs whose texts are similar enough; only the texts of pairs move, one row of each."""
-    ends = pairs.select(F.col("x").alias("wanted")).union(pairs.select("y")).distinct()
-    wanted = table(ends.join(items.select(F.col("mark").alias("wanted"), "least"), "wanted"), "wanted")
-    rows = _marked(docs)
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["least"]) & (rows["mark"] == wanted["wanted"])).groupBy("mark").agg(F.first("text").alias("text"))
-
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [np.unique(_hashes(t, near)).tobytes() for t in batch.column("text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(found, pa.binary())], ["mark", "hashes"])
-
-    kept = table(by_arrow(texts, sets, "mark long, hashes binary"), "shingles")
-    one, two = kept.select(F.col("mark").alias("x"), F.col("hashes").alias("s")), kept.select(F.col("mark").alias("y"), F.col("hashes").alias("t"))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
-        for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
-            both = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True))
-            keep.append(both >= near.similarity * ((len(s) + len(t)) // 8 - both))
-        return batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
-
-    return by_arrow(pairs.join(one.hint("merge"), "x").join(two.hint("merge"), "y").select("x", "y", "s", "t"), work, "x long, y long")
-
-
-def similar(sure: DataFrame, nodes: DataFrame, fps: DataFrame, docs: DataFrame, near: Near) -> DataFrame:
-    """(fp, root) as components() gives them, of the sure links (a, b) and of all pairs of texts that
-    have the similarity. Each round takes the pairs of a key that are 8 times as far apart as the
-    round's before, as long as a key holds texts of different components that far apart."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first")
-    items = fps.groupBy("fp", "mark").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys"))
-    items = table(items.join(nodes.select("fp", "name"), "fp").select("name", "mark", F.col("first.doc_id").alias("least"), "size", "keys"), "items")
-    shared = table(_shared(items.where("size > 0")), "shared")
-    links = table(sure.select("a", "b"), "sure")
-    roots, low = table(components(links), "roots"), 1
-    names = items.select("mark", "name")
-    while True:
-        of = names.join(roots.withColumnRenamed("fp", "name"), "name", "left").select("mark", F.xxhash64(F.coalesce("root", "name")).alias("root"))
-        rows = shared.join(of, "mark")
-        keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("r"), F.max("root").alias("q")).where(f"r <> q and n > {low}").select("key")
-        rows = table(rows.join(keys.hint("merge"), "key", "left_semi"), "open-keys")
-        if not rows.head(1):
-            return roots
-        pairs = table(_pairs(rows.repartition("key").sortWithinPartitions("key", "size", "mark"), near, low, 8 * low + 1), "pairs")
-        found = table(_alike(pairs, items, docs, near), "alike")
-        if found.head(1):
-            x, y = names.toDF("x", "a"), names.toDF("y", "b")
-            new = found.join(x, "x").join(y, "y").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
-            links = table(links.union(new).distinct(), "links")
-            roots = table(components(links), "roots")
-        low = 8 * low + 1
-
-
 def components(edges: DataFrame, label: str = "components", rounds: int = 200) -> DataFrame:
     """(fp, root): the least name each name of the edges (a < b) reaches. Alternating large-star
     and small-star rounds; each round is written, and hot centres are aggregated before any join."""
-    spark = edges.sparkSession
     now = table(edges.select("a", "b").where("a <> b").distinct(), label)
     if not now.head(1):
-        return spark.createDataFrame([], "fp binary, root binary")
+        return now.select(F.col("b").alias("fp"), F.col("a").alias("root"))
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b"), F.col("a")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -478,19 +295,18 @@ def classes(docs: DataFrame, near: Near = STRICT) -> DataFrame:
     """(doc_id, fp, component_id): one row for each document.
 
     A fingerprint's name begins with its smallest doc_id in an order-keeping form, so the least name
-    of a component tells its id and nothing is gathered by component."""
+    of a component tells its id and nothing is gathered by component. With a similarity the second
+    column is the digest of ``near.groups``."""
+    if near.similarity:
+        from textspan.llm import near as texts
+
+        return texts.groups(docs, near)
     fps = table(fingerprints(docs, near), "fingerprints")
     sign = F.lit(-(1 << 63))
     number = F.unhex(F.lpad(F.hex(F.coalesce(F.col("least"), F.lit(0)).bitwiseXOR(sign)), 16, "0"))
     name = F.concat(F.when(F.col("least").isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), number, F.col("fp"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark"))
-    nodes = fps.groupBy("fp").agg(first.alias("first")).select("fp", F.col("first.doc_id").alias("least"), F.col("first.mark").alias("mark"))
-    nodes = table(nodes.withColumn("name", name), "nodes")
-    named = nodes.select(F.col("name").alias("fp"))
-    if near.similarity:
-        found = similar(links(named, replace(near, max_bits=near.sure_bits)), nodes, fps, docs, near)
-    else:
-        found = table(components(links(named, near)), "roots")
+    nodes = table(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("name", name), "nodes")
+    found = table(components(links(nodes.select(F.col("name").alias("fp")), near)), "roots")
     roots = found.select(F.col("fp").alias("name"), "root")
     root = F.coalesce("root", "name")
     # 16 hex digits as an unsigned number, brought back to the signed one
@@ -511,10 +327,7 @@ def op1(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, near: Near = SIMILAR) -> DataFrame:
-    """docs with one document left of each component: the one with the smallest doc_id. Rows with
-    a null doc_id can't be told apart and stay. Of rows that share a doc_id all stay or go."""
-    names = docs.columns
-    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    key = f"c{names.index('doc_id') if 'doc_id' in names else [c.lower() for c in names].index('doc_id')}"
-    kept = classes(docs, near).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    return plain.join(kept.hint("merge"), plain[key].eqNullSafe(kept["kept"]), "left_semi").toDF(*names)
+    """``near.dedup``: one document of each group of texts at the similarity."""
+    from textspan.llm import near as texts
+
+    return texts.dedup(docs, near)
