@@ -5,8 +5,8 @@ A document's size is its number of words. Sources in code-point order, null last
 size, and what is over is shared again by weight: each target is the lesser of its stop and one
 common level times its weight. Whole repeats of a source come first. What is left of a target, less
 than the source's size, is fitted from its histogram of exact lengths: an even share of each
-length, then the longest lengths that still fit, then a bounded-knapsack program over the lengths
-of the last words. Which documents of a length are taken follows a seeded hash.
+length, and a bounded-knapsack program for the rest (``fit``). Which documents of a length are taken
+follows a seeded hash.
 
 Null text or one without words: size 0, never taken words of. Null source is a source. Rows with
 the same doc_id and size are chosen one by one and may swap. No words at all: targets are 0. An
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from textspan.llm.common import spread_rank, table, unambiguous, word_count
 
-#: Words that the last, exact program may spend.
-EXACT = 4096
+#: Words that the exact program may spend at first, and at most.
+EXACT, MOST = 4096, 1 << 22
 
 
 def targets(sources: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -47,55 +47,66 @@ def targets(sources: DataFrame, most: int = 3, weights: tuple[int, ...] = (1, 2,
     return rows.select("source", "source_size", F.coalesce(F.least(F.col("stop").cast("double"), F.col("common") * F.col("w")), F.lit(0.0)).alias("target"))
 
 
-def fit(lengths: list[tuple[int, int]], budget: int, exact: int = EXACT) -> dict[int, int]:
+def _fill(free: list[tuple[int, int]], left: int) -> tuple[int, dict[int, int]]:
+    """The largest sum of at most ``left`` that (length, count) can make, and how: a bounded-knapsack
+    program that keeps for each sum the length that first reached it and how many of them."""
+    import numpy as np
+
+    reached, length, times = np.zeros(left + 1, bool), np.zeros(left + 1, np.int64), np.zeros(left + 1, np.int64)
+    reached[0] = True
+    for n, count in free:
+        if n > left or reached[left]:
+            break
+        rest, part = min(count, left // n), 1
+        while rest > 0 and not reached[left]:
+            step = min(part, rest)
+            new = np.flatnonzero(reached[: left + 1 - step * n] & ~reached[step * n :]) + step * n
+            reached[new], length[new], times[new] = True, n, step
+            rest -= step
+            part *= 2
+    best = at = int(np.flatnonzero(reached)[-1])
+    used: dict[int, int] = {}
+    while at:
+        n, k = int(length[at]), int(times[at])
+        used[n] = used.get(n, 0) + k
+        at -= n * k
+    return best, used
+
+
+def fit(lengths: list[tuple[int, int]], budget: int, exact: int = EXACT, most: int = MOST) -> dict[int, int]:
     """How many documents of each length, of (length, count) with positive lengths, make up the
-    budget as nearly as possible without passing it."""
-    import bisect
+    budget as nearly as possible without passing it.
+
+    An even share of every length keeps the mix like its source; the program then spends the last
+    ``exact`` words. Where that doesn't meet the budget to the word, documents are given back and the
+    program has four times as many words to spend, until it meets the budget or has all of it to
+    spend, and so has the best sum there is. Only past ``most`` words is the best found so far taken."""
+    import math
 
-    lengths = sorted(lengths)
-    total = sum(n * c for n, c in lengths)
+    unit = math.gcd(*(n for n, _ in lengths)) if lengths else 1
+    lengths, budget = sorted((n // unit, c) for n, c in lengths), budget // unit
+    count, total = dict(lengths), sum(n * c for n, c in lengths)
     if budget >= total:
-        return dict(lengths)
-    # an even share of every length keeps the mix like its source
+        return {n * unit: c for n, c in lengths}
     taken = {n: c * budget // total for n, c in lengths}
-    left = budget - sum(n * t for n, t in taken.items())
-    free = {n: c - taken[n] for n, c in lengths}
-    order = [n for n, _ in lengths]
-    # the longest that fit, while more is left than the program covers
-    at = bisect.bisect_right(order, left)
-    while left > exact and at:
-        n = order[at - 1]
-        use = min(free[n], (left - exact) // n) or (1 if free[n] and n <= left else 0)
-        taken[n] += use
-        free[n] -= use
-        left -= use * n
-        at = min(at - 1, bisect.bisect_right(order, left))
-    if left > exact:
-        return taken
-    # bounded knapsack: first[s] is the length whose use first reached sum s, and how often
-    first: dict[int, tuple[int, int]] = {0: (0, 0)}
-    reached = 1
-    full = (1 << left + 1) - 1
-    for n in order:
-        if n > left or reached >> left & 1:
-            break
-        c, part = min(free[n], left // n), 1
-        while c > 0:
-            k = min(part, c)
-            new = (reached << k * n) & full & ~reached
-            reached |= new
-            while new:
-                low = new & -new
-                first[low.bit_length() - 1] = (n, k)
-                new ^= low
-            c -= k
-            part *= 2
-    s = reached.bit_length() - 1
-    while s:
-        n, k = first[s]
-        taken[n] += k
-        s -= n * k
-    return taken
+    best: tuple[int, dict[int, int]] = (-1, {})
+    while True:
+        left = budget - sum(n * t for n, t in taken.items())
+        for n, _ in reversed(lengths):  # the longest that fit, while more is left than the program covers
+            use = min(count[n] - taken[n], max(0, left - exact + n - 1) // n, left // n)
+            taken[n] += use
+            left -= use * n
+        for n, _ in lengths:  # or give back as much as it covers
+            use = min(taken[n], max(0, exact - left) // n)
+            taken[n] -= use
+            left += use * n
+        some, how = _fill([(n, c - taken[n]) for n, c in lengths if c > taken[n]], left)
+        got = budget - left + some
+        if got > best[0]:
+            best = got, {n: t + how.get(n, 0) for n, t in taken.items()}
+        if best[0] == budget or not any(taken.values()) or exact >= most:
+            return {n * unit: t for n, t in best[1].items()}
+        exact *= 4
 
 
 def plan(histogram: DataFrame) -> DataFrame:
@@ -114,10 +125,10 @@ def plan(histogram: DataFrame) -> DataFrame:
     return numbered.groupBy("at", "source").applyInPandas(work, "source string, size long, extra long")
 
 
-def mix(docs: DataFrame, seed: int = 42, most: int = 3, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) of every row."""
-    few = unambiguous(docs, "doc_id", "text", "source")
-    rows = table(few.select("doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size")), "sizes")
+def mix(docs: DataFrame, seed: int = 42, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken) of every row, and the columns to carry."""
+    few = unambiguous(docs, "doc_id", "text", "source", *carry)
+    rows = table(few.select("doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size"), *carry), "sizes")
     histogram = table(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     sources = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     goal = targets(sources, most, weights).withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -127,12 +138,12 @@ def mix(docs: DataFrame, seed: int = 42, most: int = 3, weights: tuple[int, ...]
     same = lambda d: d["source"].eqNullSafe(F.col("__source"))
     budgets = histogram.where("size > 0").join(named, same(histogram)).where("budget > 0").select("source", "size", "n", "budget")
     extra = table(plan(budgets).where("extra > 0"), "extra").select(F.col("source").alias("__s"), F.col("size").alias("__n"), "extra")
-    ranked = spread_rank(rows, ["source", "size"], F.xxhash64(F.lit(seed), "doc_id"), ["doc_id"])
+    ranked = spread_rank(rows, ["source", "size"], F.xxhash64(F.lit(seed), "doc_id", *carry), ["doc_id", *carry])
     with_extra = ranked.join(extra, ranked["source"].eqNullSafe(extra["__s"]) & (ranked["size"] == extra["__n"]), "left").drop("__s", "__n")
     out = with_extra.join(named.drop("budget"), same(with_extra)).drop("__source")
     copies = F.col("whole") + (F.col("rank") < F.coalesce("extra", F.lit(0))).cast("long")
     out = out.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
 
 
 def op4(docs: DataFrame) -> DataFrame:
@@ -140,10 +151,14 @@ def op4(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 42) -> DataFrame:
-    """docs as the mix takes them: a row for each copy. Documents that the mix leaves out go."""
+    """docs as the mix takes them: a row for each copy. Rows that the mix leaves out go. Every row is
+    taken by itself, those that share a doc_id too: rows get a number of their own first. Columns are
+    found by their exact names, else by the first that differs in case only; extra ones stay."""
     names = docs.columns
-    at = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    key = f"c{[c.lower() for c in names].index('doc_id')}"
-    taken = mix(docs, seed).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    out = at.join(taken.hint("merge"), at[key].eqNullSafe(taken["doc_id"])).drop("doc_id")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copy", "__copies").toDF(*names)
+    rows = table(docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    lower = [c.lower() for c in names]
+    at = {n: f"c{names.index(n) if n in names else lower.index(n)}" for n in ("doc_id", "text", "source")}
+    few = rows.select(*(F.col(c).alias(n) for n, c in at.items()), "row")
+    taken = mix(few, seed, carry=("row",)).where("copies > 0").select("row", "copies")
+    out = rows.join(taken.hint("merge"), "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.drop("row", "copies", "copy").toDF(*names)
