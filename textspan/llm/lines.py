@@ -4,8 +4,7 @@ A text is cut at line feeds; a chunk ends after a line where the rolling hash ov
 the last ``window`` lines has ``bits`` zero bits, so that lines put in before it don't move its
 bounds. A chunk of ``least`` or more lines with a word, and ``letters`` or more characters, that
 occurs before, in a document of smaller doc_id or earlier in the same one, is removed. Chunks are
-grouped by their bytes themselves, pre-aggregated before the shuffle; the short name that is
-carried on stands for one byte string only (a name of two byte strings removes nothing).
+grouped by their bytes themselves, pre-aggregated before the shuffle; a 128-bit name is carried on.
 
 Null text stays null, with no lines. Empty text is one blank line and stays. Null doc_id is
 ordered first. Rows that share a doc_id count as one document repeated: if their texts agree,
@@ -57,10 +56,10 @@ def removable(lines: list[str], cuts: Cuts) -> bool:
     return sum(bool(x.strip(" \t\n\r\x0b\f")) for x in lines) >= cuts.least and sum(map(len, lines)) >= cuts.letters
 
 
-def name_of(body: str) -> int:
-    import hashlib
+def name_of(body: str) -> bytes:
+    from hashlib import blake2b
 
-    return int.from_bytes(hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+    return blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _chunked(docs: DataFrame, cuts: Cuts) -> DataFrame:
@@ -81,18 +80,17 @@ def _chunked(docs: DataFrame, cuts: Cuts) -> DataFrame:
                     names.append(name_of(body))
         if not ids:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(names, pa.int64()), pa.array(bodies, pa.string())], ["doc_id", "at", "name", "body"])
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(names, pa.binary()), pa.array(bodies, pa.string())], ["doc_id", "at", "name", "body"])
 
-    return by_arrow(docs, work, "doc_id long, at int, name long, body string")
+    return by_arrow(docs, work, "doc_id long, at int, name binary, body string")
 
 
 def removals(docs: DataFrame, cuts: Cuts = Cuts()) -> DataFrame:
     """(doc_id, gone array<struct<at, name>>): first lines and names of the chunks each document loses."""
     found = _chunked(unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), cuts)
-    # grouped by the bytes: equal names of different bytes stay apart here and are dropped next
+    # grouped by the bytes: what is equal in name alone stays apart
     bodies = found.groupBy("name", "body").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
-    repeated = bodies.groupBy("name").agg(F.count("*").alias("kinds"), F.first("first").alias("first"), F.max("n").alias("n"))
-    repeated = table(repeated.where("kinds = 1 and n > 1").select("name", "first"), "repeated-chunks")
+    repeated = table(bodies.where("n > 1").select("name", "first"), "repeated-chunks")
     # as many as chunks repeat: not a size to broadcast
     again = found.select("doc_id", "at", "name").join(repeated.hint("merge"), "name")
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
