@@ -155,32 +155,34 @@ def _by_part(part: np.ndarray) -> list[tuple[int, slice]]:
 
 
 def packs(docs: DataFrame, plan: Plan) -> DataFrame:
-    """(pack, ids, sizes, length, text): whole texts one after the other, compressed."""
+    """(pack, ids, named, sizes, length, text): whole texts one after the other, compressed. named: 0 where
+    doc_id is null, whose id then stands after all others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, seq, ids, texts, held = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        base, seq, ids, named, texts, held = TaskContext.get().partitionId() << 32, 0, [], [], [], 0
 
         def row() -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts], np.int64)
             text = b"".join(texts)
             small = pa.compress(text, "zstd", asbytes=True)
-            return pa.RecordBatch.from_pydict({"pack": [base + seq], "ids": [np.array(ids, np.int64).tobytes()], "sizes": [sizes.tobytes()], "length": [len(text)], "text": [small]})
+            return pa.RecordBatch.from_pydict({"pack": [base + seq], "ids": [np.array(ids, np.int64).tobytes()], "named": [bytes(named)], "sizes": [sizes.tobytes()], "length": [len(text)], "text": [small]})
 
         for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 ids.append(NO_ID if d is None else d)
+                named.append(d is not None)
                 texts.append(t or b"")
                 held += len(texts[-1])
                 if held >= plan.pack or len(ids) >= 1 << 16:
                     yield row()
-                    seq, ids, texts, held = seq + 1, [], [], 0
+                    seq, ids, named, texts, held = seq + 1, [], [], [], 0
         if ids:
             yield row()
 
     few = unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    return few.mapInArrow(run, "pack long, ids binary, sizes binary, length long, text binary")
+    return few.mapInArrow(run, "pack long, ids binary, named binary, sizes binary, length long, text binary")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -492,7 +494,7 @@ def remove(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
             kept.append(b"".join(parts_left))
             cuts.append([{"start": x - a, "end": y - a} for x, y in s])
         return pa.table({
-            "doc_id": pa.array([None if x == NO_ID else int(x) for x in ids], pa.int64()),
+            "doc_id": pa.array([int(x) if known else None for x, known in zip(ids, row["named"], strict=True)], pa.int64()),
             "n_bytes": pa.array(np.diff(np.append(0, ends))),
             "spans": pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             "kept": pa.array(kept, pa.binary()),
@@ -501,6 +503,30 @@ def remove(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return packed.groupBy("pack").cogroup(runs.groupBy("pack")).applyInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
+def doubling(docs: DataFrame, length: int = 50) -> DataFrame:
+    """(doc_id, at): starts of the strings to remove, by prefix doubling of every position in Spark: rows
+    (document, position, rank) are paired with the rank at an offset of 1, 2, 4, ..., pairs are sorted and
+    ranked again, and what is unique drops out. The plain form of the method; it moves each position that
+    is left twice in a round, which is many times the text (see the README), so op5 doesn't take it."""
+    few = unambiguous(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    rows = table(few.where(F.length("raw") >= length).withColumn("row", F.monotonically_increasing_id()), "rows")
+    byte = F.conv(F.hex(F.substring("raw", F.col("at") + 1, F.lit(1))), 16, 10).cast("long")
+    now = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.length("raw") - 1))).select("doc_id", "row", "at", byte.alias("rank"))
+    have, now = 1, table(now, "ranks")
+    while have < length:
+        step = min(have, length - have)
+        after = now.select("row", (F.col("at") - step).alias("at"), F.col("rank").alias("next"))
+        pairs = now.join(after, ["row", "at"])
+        kinds = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1")
+        parts = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranked = table(kinds.repartitionByRange(parts, "rank", "next").sortWithinPartitions("rank", "next").select("rank", "next", F.monotonically_increasing_id().alias("new")), "kinds")
+        now = table(pairs.join(ranked, ["rank", "next"]).select("doc_id", "row", "at", F.col("new").alias("rank")), "ranks")
+        have += step
+    least = now.groupBy("rank").agg(F.min("doc_id").alias("least"))
+    lost = now.join(least, "rank").where("doc_id > least")
+    return lost.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "at")
+
+
 def op5(docs: DataFrame) -> DataFrame:
     return remove(docs).select(
         "doc_id", "n_bytes",
