@@ -1,20 +1,23 @@
-"""Token-ID files: flat unsigned 16-bit ids and 16-byte index records, made to be memory-mapped.
+"""Token-ID files: flat unsigned 16-bit ids and 24-byte index records, made to be memory-mapped.
 
-Layout below a folder, one pair of files for each shard (shards are contiguous doc_id ranges,
-documents ascend in and across them)::
+Layout below a folder, a pair of files for each shard (shards are contiguous ranges of the documents
+in ascending doc_id order)::
 
-    ids/shard=N/part-*    ids of all its documents, little-endian unsigned 16-bit
-    index/shard=N/part-*  a record for each document: doc_id int64, first id's number uint64
+    ids/N.u16    ids of all its documents, little-endian unsigned 16-bit
+    index/N.idx  a record for each document: doc_id int64, first id's number uint64, 1 if the
+                 doc_id is not null uint64
 
 Every document ends with the end id, so a document runs to the next record's start or the end of
 its shard's ids. Starts count through all shards: shard bases are prefix sums of shard totals.
-Spark's own writer and committer make the files, on any file system it can write, so a lost task
-leaves nothing half done: a row is written as raw bytes and the row separator is what ends every
-record, the end id 01 00 of a document and the two highest bytes 00 00 of a start below 2**48.
 
-Null text counts as empty (the end id alone). A null doc_id is written as the least int64 and
-comes first. Rows with equal doc_id lie next to each other, ordered by a hash of their ids. An empty table
-gives an empty result and an index without files.
+Documents are dealt once, by ranges of doc_id, and tokenised behind that exchange: each task writes
+its shard's ids as they come. A file gets its name when it is complete, and a task that runs again
+writes the same bytes, so a lost executor leaves nothing half done. Files go through Arrow's file
+systems (local or mounted folders, HDFS, S3, GCS).
+
+Null text counts as empty (the end id alone). Null doc_ids come first. Rows with equal doc_id lie
+next to each other, ordered by a hash of their texts; equal rows may be parted between shards, so
+none of them makes a shard large. An empty table gives an empty result and no files.
 """
 
 from __future__ import annotations
@@ -28,17 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textspan.llm.common import by_arrow, scratch, table, unambiguous
+from textspan.llm.common import SLICE_BYTES, scratch, table, unambiguous
 
 END_ID = 1
-NO_ID = -(1 << 63)
-#: Bytes of ids that a shard should hold.
-SHARD_BYTES = 4 << 20
+#: Bytes of text, and 16 for each document, that a shard should hold.
+SHARD_BYTES = 16 << 20
 #: Texts whose words are made distinct together.
-TOGETHER = 8192
+TOGETHER = 1024
 #: Bare words whose ids a worker keeps, about.
-KEPT = 400_000
-RECORD = np.dtype([("doc_id", "<i8"), ("start", "<u8")])
+KEPT = 80_000
+RECORD = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("named", "<u8")])
 
 
 class Words:
@@ -48,7 +50,10 @@ class Words:
     a text's ids are its blank-separated words' ids in a row. A word of Latin letters (one match)
     has the ids of its lower case, and one of ``.,;:!?`` behind it is a match of its own; every other
     word is given to the library as it stands. Words are split, made distinct and put back by Arrow;
-    the library sees each bare word once, many in one text: the last id of a match ends a word."""
+    the library sees each bare word once, many in one text: the last id of a match ends a word.
+    A vocabulary whose rules differ (``PROBE`` tells) is left to the library, text by text."""
+
+    PROBE = ("A word, Another?  it's 12\tÉté naïve;\nx.y end", "don't <b> #tag STRASSE ß! 中文 a_b (c) d.", "The the THE thE.")
 
     LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
     MARKS = ".,;:!?"
@@ -61,6 +66,11 @@ class Words:
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {}
         self.marks = pa.array([b"", *self._each(list(self.MARKS))], pa.binary())
+        self.by_words = True
+        try:
+            self.by_words = self.encode(pa.array(self.PROBE)).to_pylist() == self._each(list(self.PROBE))
+        except ValueError:
+            self.by_words = False
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u2").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -98,6 +108,8 @@ class Words:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Ids of each text; none for null."""
+        if not self.by_words:
+            return pa.array(self._each([t or "" for t in texts.to_pylist()]), pa.binary())
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
         if not len(words):
@@ -112,124 +124,150 @@ class Words:
 _HELD: dict[str, Words] = {}
 
 
-def tokenized(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids binary without the end id, n with it)."""
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        from textspan.llm import tokenfile
+def _vocabulary(path: str | None) -> Words:
+    if path is None:
+        import public_tokenizers
 
-        at = path
-        if at is None:
-            import public_tokenizers
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return _HELD.get(path) or _HELD.setdefault(path, Words(path))
 
-            at = public_tokenizers.path("word_bpe_49k.json")
-        words = tokenfile._HELD.get(at) or tokenfile._HELD.setdefault(at, Words(at))
-        ids = words.encode(batch.column("text"))
-        n = pc.add(pc.divide(pc.binary_length(ids), 2), 1).cast(pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, n], ["doc_id", "ids", "n"])
 
-    rows = unambiguous(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return by_arrow(rows, work, "doc_id long, ids binary, n long", TOGETHER)
+class _File:
+    """Bytes that get their name when all are written."""
 
+    def __init__(self, folder: str, name: str) -> None:
+        import uuid
 
-def _little(number: str):
-    """A bigint as 8 little-endian bytes."""
-    big = F.unhex(F.lpad(F.hex(number), 16, "0"))
-    return [F.substring(big, i, 1) for i in range(8, 0, -1)]
+        from pyarrow import fs
 
+        self.store, at = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        self.store.create_dir(at, recursive=True)
+        self.name, self.draft = f"{at}/{name}", f"{at}/.{name}.{uuid.uuid4().hex}"
+        self.out = self.store.open_output_stream(self.draft)
 
-def write(docs: DataFrame, folder: str, path: str | None = None) -> None:
-    spark = docs.sparkSession
-    rows = table(tokenized(docs, path), "tokens")
-    size = rows.agg(F.sum("n").alias("n"), F.max("doc_id").alias("top")).first()
-    if size["top"] is None:
-        return
-    shards = max(1, -(-2 * size["n"] // SHARD_BYTES))
-    # about one bound for each shard, read from doc_ids alone
-    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / shards for i in range(1, shards)] or [1.0], 10_000)).first()[0]))
-    cut = spark.createDataFrame([(bounds,)], "bounds array<long>")
-    # position among the bounds by their array: count of bounds below
-    sharded = rows.crossJoin(F.broadcast(cut)).withColumn("shard", F.expr("size(filter(bounds, b -> b < doc_id))")).drop("bounds")
-    sharded = sharded.withColumn("h", F.xxhash64("ids"))
-    totals = sharded.groupBy("shard").agg(F.sum("n").alias("total"))
-    base = F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")
-    bases = totals.select("shard", base.alias("base"))  # a row for each shard: small by SHARD_BYTES
-    width = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    sorted_rows = sharded.repartition(width, "shard").sortWithinPartitions("shard", "doc_id", "h", "n")
-    sorted_rows.select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\x01\x00").text(f"{folder}/ids")
-    order = Window.partitionBy("shard").orderBy("doc_id", "h", "n")
-    starts = sharded.drop("ids").withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    index = starts.join(F.broadcast(bases), "shard").select("shard", "doc_id", (F.col("base") + F.col("before")).alias("start"))
-    record = F.concat(*_little("doc_id"), *_little("start")[:6])
-    index.sortWithinPartitions("shard", "start").select("shard", record.cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\x00\x00").text(f"{folder}/index")
+    def write(self, raw: bytes | memoryview | pa.Buffer) -> None:
+        self.out.write(raw)
+
+    def done(self) -> None:
+        self.out.close()
+        self.store.move(self.draft, self.name)
+
+
+def _ranged(docs: DataFrame, shard_bytes: int) -> DataFrame:
+    """(doc_id, text) in order, a partition for each shard."""
+    rows = unambiguous(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
+    size = rows.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 16)).first()[0] or 0
+    keys = ["doc_id", "h", "row"]
+    keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    return keyed.repartitionByRange(max(1, -(-size // shard_bytes)), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+
+
+def write(docs: DataFrame, folder: str, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> bool:
+    """Write the files; False if there is nothing to write."""
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        from textspan.llm import tokenfile
+
+        shard, file, at = TaskContext.get().partitionId(), None, 0
+        end = pa.scalar(np.uint16(END_ID).tobytes(), pa.binary())
+        for whole in batches:
+            step = max(1, min(TOGETHER, whole.num_rows * SLICE_BYTES // max(whole.nbytes, 1)))
+            for low in range(0, whole.num_rows, step):
+                batch = whole.slice(low, step)
+                words = tokenfile._vocabulary(path)
+                ids = pc.binary_join_element_wise(words.encode(batch.column("text")), end, pa.scalar(b"", pa.binary()))
+                file = file or tokenfile._File(f"{folder}/ids", f"{shard}.u16")
+                ends = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)
+                file.write(ids.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0])))
+                n = np.asarray(pc.binary_length(ids)).astype(np.int64) // 2
+                starts = at + np.cumsum(n) - n
+                at += int(n.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), batch.column("doc_id"), pa.array(starts), pa.array(n)], ["shard", "doc_id", "start", "n"])
+                pa.default_memory_pool().release_unused()
+        if file:
+            file.done()
+
+    rows = table(_ranged(docs, shard_bytes).mapInArrow(save, "shard int, doc_id long, start long, n long"), "token-index")
+    totals = table(rows.groupBy("shard").agg(F.sum("n").alias("n")).withColumn("block", F.floor(F.col("shard") / 1024)), "shard-totals")
+    if not totals.head(1):
+        return False
+    # prefix sums in two steps: of a thousand shards at a time, then of their sums
+    upto = lambda w: F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    blocks = totals.groupBy("block").agg(F.sum("n").alias("n")).select("block", upto(Window.orderBy("block")).alias("below"))
+    bases = totals.withColumn("before", upto(Window.partitionBy("block").orderBy("shard"))).join(blocks, "block")
+    bases = bases.select("shard", (F.col("below") + F.col("before")).alias("base"))
+
+    def index(t: pa.Table) -> pa.Table:
+        from textspan.llm import tokenfile
+
+        starts = t.column("start").to_numpy() + t.column("base").to_numpy()
+        order = np.argsort(starts, kind="stable")
+        records = np.zeros(len(starts), RECORD)
+        ids = t.column("doc_id").combine_chunks()
+        records["doc_id"] = np.asarray(pc.fill_null(ids, 0))[order]
+        records["start"], records["named"] = starts[order], np.asarray(pc.is_valid(ids))[order]
+        shard = t.column("shard")[0].as_py()
+        file = tokenfile._File(f"{folder}/index", f"{shard}.idx")
+        file.write(records.tobytes())
+        file.done()
+        return pa.table({"shard": pa.array([shard], pa.int32())})
+
+    table(rows.join(bases, "shard").groupBy("shard").applyInArrow(index, "shard int"), "indexed")
+    return True
 
 
 def mapped_shards(folder: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """Memory maps (ids, records) of each shard of a local folder, in order."""
     from pathlib import Path
 
-    found = []
-    for index in sorted(Path(folder, "index").glob("shard=*/part-*"), key=lambda p: int(p.parent.name[6:])):
-        (ids,) = Path(folder, "ids", index.parent.name).glob("part-*")
-        found.append((np.memmap(ids, "<u2", "r"), np.memmap(index, RECORD, "r")))
-    return found
+    found = sorted(Path(folder, "index").glob("*.idx"), key=lambda p: int(p.stem))
+    return [(np.memmap(Path(folder, "ids", f"{p.stem}.u16"), "<u2", "r"), np.memmap(p, RECORD, "r")) for p in found]
 
 
-def read(spark: SparkSession, folder: str, local: bool | None = None) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary): every document from the files.
+def read(spark: SparkSession, folder: str, local: bool | None = None, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary): every document from the files; with digest the CRC of its
+    ids as 32-bit integers, ids_crc32, in place of them.
 
-    Where the folder is a plain file system, tasks map the ids file that lies beside an index;
-    elsewhere Spark's reader brings the files' bytes."""
-    shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
-    index = files.load(f"{folder}/index").select(shard.alias("shard"), F.col("content").alias("records"))
+    Spark lists the index files; tasks map them and the ids beside them where the folder is a plain
+    file system, and read them through Arrow elsewhere."""
     local = folder.startswith(("file:", "/")) if local is None else local
-    ids = files.load(f"{folder}/ids").select(shard.alias("shard"), F.col("path" if local else "content").alias("ids"))
-    pairs = index.join(ids, "shard")
-
-    def cut(raw: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
-        first = int(records["start"][0])
-        ends = np.append(records["start"][1:].astype(np.int64) - first, len(raw))
-        starts = records["start"].astype(np.int64) - first
-        for at in range(0, len(records), 1024):
-            part = slice(at, at + 1024)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(records["doc_id"][part]),
-                    pa.array(records["start"][part].astype(np.int64)),
-                    pa.array(ends[part] - starts[part]),
-                    pa.array([raw[a:b].tobytes() for a, b in zip(starts[part], ends[part], strict=True)], pa.binary()),
-                ],
-                ["doc_id", "start", "n_tokens", "ids"],
-            )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.idx").load(f"{folder}/index").select("path")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(path: str, dtype) -> np.ndarray:
         from urllib.parse import unquote, urlparse
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                records = np.frombuffer(batch.column("records")[i].as_buffer(), RECORD)
-                found = batch.column("ids")[i]
-                raw = np.memmap(unquote(urlparse(found.as_py()).path), "<u2", "r") if local else np.frombuffer(found.as_buffer(), "<u2")
-                yield from cut(raw, records)
+        from pyarrow import fs
+
+        if local:
+            return np.memmap(unquote(urlparse(path).path), dtype, "r")
+        store, at = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
+        with store.open_input_file(at) as f:
+            return np.frombuffer(f.read(), dtype)
 
-    out = pairs.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                top, _, name = path.rpartition("/index/")
+                records, raw = opened(path, RECORD), opened(f"{top}/ids/{name[:-4]}.u16", "<u2")
+                starts = records["start"].astype(np.int64)
+                local_starts = starts - starts[0]
+                ends = np.append(local_starts[1:], len(raw))
+                for at in range(0, len(records), 1024):
+                    part = slice(at, at + 1024)
+                    each = (raw[a:b] for a, b in zip(local_starts[part], ends[part], strict=True))
+                    ids = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64()) if digest else pa.array([x.tobytes() for x in each], pa.binary())
+                    names = pa.array(records["doc_id"][part].astype(np.int64), mask=records["named"][part] == 0)
+                    yield pa.RecordBatch.from_arrays([names, pa.array(starts[part]), pa.array(ends[part] - local_starts[part]), ids], ["doc_id", "start", "n_tokens", last.split()[0]])
+
+    last = "ids_crc32 long" if digest else "ids binary"
+    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def op8(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch(spark, "token-files")
-    write(docs, folder)
-    if not _exists(spark, f"{folder}/index"):
+    if not write(docs, folder):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        crc = [zlib.crc32(np.frombuffer(x.as_buffer(), "<u2").astype("<u4").tobytes()) for x in batch.column("ids")]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return by_arrow(read(spark, folder), work, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return read(spark, folder, digest=True)
