@@ -88,12 +88,23 @@ def plain_headings(c: Column) -> Column:
 
 
 def final_spacing(c: Column) -> Column:
-    c = F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), " ?\n ?", "\n")
+    # patterns match only what changes: a single blank or line feed is left alone
+    c = F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}|\t", " "), " \n ?|\n ", "\n")
     c = tighten(F.regexp_replace(c, "\n{3,}", "\n\n"))
     c = F.regexp_replace(c, r"(?m)(?:\n*\n|\A)[ \t]*(==\s+[^\n]+?\s+==)[ \t]*$", "\n\n$1")
     return squeeze_ends(c)
 
 
+def one_text(c: Column) -> Column:
+    """The same lines, parted by line feeds alone."""
+    return F.regexp_replace(F.regexp_replace(newlines(c), f"(?:{LINE_END})\\z", ""), LINE_END, "\n")
+
+
+def heading_lines(c: Column) -> Column:
+    """``plain_headings`` of ``one_text``, by one pattern over the whole text."""
+    return F.regexp_replace(c, r"(?dmU)^[^\S\n]*(=+)[^\S\n]*(.*?)[^\S\n]*\1[^\S\n]*$", "== $2 ==")
+
+
 def glyph(c: Column) -> Column:
     return (F.length(squeeze_ends(c)) > 0) & ~c.rlike(r"[\p{L}\p{N}_]")
 
@@ -205,6 +216,21 @@ def cited_numbers(c: Column) -> Column:
     return F.flatten(F.transform(citations(c), numbers_in))
 
 
+def unique(numbers: Column) -> Column:
+    """Each value once, in the order of first occurrence."""
+    return F.array_distinct(numbers)
+
+
+def without_references(c: Column) -> Column:
+    """Without the References section, which lasts to the next heading."""
+    return squeeze_ends(F.regexp_replace(c, r"(?s)\s*(?m:^)== References ==(?m:$).*?(?=(?m:^)== |\z)", "\n\n"))
+
+
+def context(c: Column, end: Column, many: int = 3, reach: int = 240) -> Column:
+    """The first words behind a citation that ends at ``end``."""
+    return F.slice(words(comparable_plain(F.substring(c, end + 1, F.lit(reach)))), 1, many)
+
+
 def reference_block(numbers: Column, texts: Column) -> Column:
     items = F.zip_with(numbers, texts, lambda n, t: F.concat(n, F.lit(". "), t))
     return F.when(F.size(numbers) == 0, F.lit("")).otherwise(F.concat(F.lit("== References ==\n\n"), F.array_join(items, "\n\n")))
@@ -214,9 +240,14 @@ def topic(title: Column) -> Column:
     return F.concat(F.lit("== "), title, F.lit(" =="))
 
 
+def under_topic(c: Column, title: Column) -> Column:
+    """c, without blanks at its ends, under a heading that it may have already."""
+    head = topic(title)
+    return F.when(c == "", head).when(F.lower(F.left(c, F.length(head))) == F.lower(head), c).otherwise(F.concat(head, F.lit("\n\n"), c))
+
+
 def with_topic(c: Column, title: Column) -> Column:
-    c, head = squeeze_ends(c), topic(title)
-    return F.when(c == "", head).when(F.lower(c).startswith(F.lower(head)), c).otherwise(F.concat(head, F.lit("\n\n"), c))
+    return under_topic(squeeze_ends(c), title)
 
 
 def note_section(c: Column) -> Column:

@@ -20,43 +20,61 @@ def arrow(ddl: str):
 
 
 def needs_fold(c: Column, mode: str) -> Column:
-    lower = F.transform(text.lines(text.newlines(c)), text.title_of)
-    titled = F.exists(lower, lambda t: t.isin(sorted(fixed.DROPPED_TITLES | fixed.NOTE_TITLES)))
-    power = c.rlike(r"(?U)\d\s+\(=\d{2,6}\)")
+    """Whether a text may need a fold: cheap tests of the whole text, which may say yes too often."""
+    titles = "|".join(sorted(fixed.DROPPED_TITLES | fixed.NOTE_TITLES))
+    end = r"[\v\x1c-\x1e]"
+    titled = c.rlike(rf"(?iU)(?:\A|{end})\s*=*\s*(?:{titles})\s*=*\s*(?:\z|{end})")
+    power = c.contains("(=") & c.rlike(r"(?U)\d\s+\(=\d{2,6}\)")
     return titled | power | (c.contains("$") if mode == "latex" else F.lit(False)) | (c.contains(fixed.FORMULA_MARK) if mode != "keep" else F.lit(False))
 
 
 def _native(c: Column, mode: str, citations: bool) -> Column:
-    caret = r"^\s*\^(?:\s*\^|\s*[\p{L}\p{N}](?=\s|\^|\p{Lu}|$))*\s*"
-    c = F.array_join(F.transform(text.lines(text.newlines(c)), lambda x: F.regexp_replace(x, text.U + caret, "")), "\n")
-    c = text.plain_headings(c if citations else text.drop_citations(c))
+    caret = r"(?dmU)^[^\S\n]*\^(?:[^\S\n]*\^|[^\S\n]*[\p{L}\p{N}](?=\s|\^|\p{Lu}|$))*[^\S\n]*"
+    c = F.regexp_replace(text.one_text(c), caret, "")
+    c = text.heading_lines(c if citations else text.drop_citations(c))
     if mode != "keep":
+        # no fragment is longer than 120 characters
         c = F.transform(F.split(c, "\n{2,}"), lambda p: F.struct(p.alias("p"), text.squeeze_ends(p).alias("s")))
-        c = F.array_join(F.transform(F.filter(c, lambda x: ~text.fragment(x["s"])), lambda x: x["p"]), "\n\n")
+        c = F.array_join(F.transform(F.filter(c, lambda x: (F.length(x["s"]) > 120) | ~text.fragment(x["s"])), lambda x: x["p"]), "\n\n")
     return text.final_spacing(F.regexp_replace(c, r"(?U)\s*\(\s*\)", ""))
 
 
+def _folded(mode: str, citations: bool, references: bool):
+    @F.pandas_udf("string")
+    def folded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else prose.clean(t, mode, citations, references))
+
+    return folded
+
+
 def clean(c: Column, mode: str = "remove", citations: bool = False, references: bool = False) -> Column:
     """The whole chain on a plain extract; null stays null."""
     if mode not in fixed.MATH_MODES:
         raise ValueError(f"no such math mode: {mode}")
+    fold = needs_fold(c, mode)
+    return F.when(fold, _folded(mode, citations, references)(F.when(fold, c))).otherwise(_native(c, mode, citations))
 
-    @F.pandas_udf("string")
-    def folded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else prose.clean(t, mode, citations, references))
 
-    fold = needs_fold(c, mode)
-    return F.when(fold, folded(F.when(fold, c))).otherwise(_native(c, mode, citations))
+def cleaned(df: DataFrame, body: str = "text", mode: str = "remove", citations: bool = False, references: bool = False) -> DataFrame:
+    """df with ``body`` clean, as two plans: rows that need a fold go to Arrow, no other row does."""
+    if mode not in fixed.MATH_MODES:
+        raise ValueError(f"no such math mode: {mode}")
+    fold = F.coalesce(needs_fold(F.col(body), mode), F.lit(False))
+    native = df.where(~fold).withColumn(body, _native(F.col(body), mode, citations))
+    return native.unionByName(df.where(fold).withColumn(body, _folded(mode, citations, references)(F.col(body))))
 
 
 def extracts(df: DataFrame, body: str = "text", title: str = "title", mode: str = "remove") -> DataFrame:
     """df with ``body`` as plain extracts are handed out: clean, without empty notes, under the title.
     A column for each step, as each step reads the one before more than once."""
-    df = df.withColumn("__clean", clean(F.col(body), mode))
-    df = df.withColumn("__notes", text.note_section(F.col("__clean")))
+    # a generator stands between: the steps below read the clean text, not the chain that makes it
+    df = cleaned(df, body, mode).withColumn(body, F.explode(F.array(body)))
+    # most texts have no such word at all
+    df = df.withColumn("__noted", F.col(body).rlike(r"(?i)notes?"))
+    df = df.withColumn("__notes", F.when(F.col("__noted"), text.note_section(F.col(body))))
     bodied = F.size(F.filter(text.lines(F.col("__notes")), lambda x: text.squeeze_ends(x) != "")) > 1
-    df = df.withColumn("__kept", F.when(bodied, F.col("__clean")).otherwise(text.without_notes_title(F.col("__clean"))))
-    return df.withColumn(body, text.with_topic(F.col("__kept"), F.col(title))).drop("__clean", "__notes", "__kept")
+    df = df.withColumn("__kept", F.when(F.col("__noted") & ~bodied, text.without_notes_title(F.col(body))).otherwise(F.col(body)))
+    return df.withColumn(body, text.under_topic(F.col("__kept"), F.col(title))).drop("__noted", "__notes", "__kept")
 
 
 def page(html: Column, mode: str = "remove") -> Column:

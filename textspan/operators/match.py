@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from textspan.functions import align, text
 from textspan.operators import segment
+from textspan.sources.stored import stored
 
 OUTCOME = "status string, error string, text string, start int, end int, start_score double, end_score double, confidence string, report array<string>"
 #: What each matcher reads: the clean text or the page itself.
@@ -55,19 +56,7 @@ def hybrid(clean: Column, copied: Column, references: str, entries: Column, capt
 
 # -- candidate windows, native -------------------------------------------------------------------
 
-WINDOW, RARE, PLACES, CANDIDATES, BLOCKING = 60, 28, 3, 240, 8
-
-
-def blocked(items: DataFrame, postings: DataFrame, most: int = BLOCKING) -> DataFrame:
-    """(item_id, doc_id): documents that hold one of an item's rarest words. items: (item_id, apos,
-    value); postings: (doc_id, value, n, positions). Document frequencies are counted for the items'
-    words alone."""
-    wanted = items.select("value").distinct()
-    spread = postings.join(wanted, "value", "left_semi").groupBy("value").agg(F.count("*").alias("df"))
-    own = items.select("item_id", "value").distinct().join(spread, "value")
-    w = Window.partitionBy("item_id").orderBy("df", "value")
-    rarest = own.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).select("item_id", "value")
-    return postings.join(rarest, "value").select("item_id", "doc_id").distinct()
+WINDOW, RARE, PLACES, CANDIDATES = 60, 28, 3, 240
 
 
 def reaching(items: DataFrame, postings: DataFrame, least: float = 0.72) -> DataFrame:
@@ -101,9 +90,14 @@ def candidates(items: DataFrame, postings: DataFrame, sizes: DataFrame, pairs: D
     return counted.withColumn("order", order).where(F.col("order") <= most).select("item_id", "doc_id", "start", "votes", "order")
 
 
-def scored(found: DataFrame, items: DataFrame, postings: DataFrame, values: DataFrame, least: float = 0.72) -> DataFrame:
-    """(item_id, doc_id, start, end, overlap, ordered, score) of windows with the least score. values:
-    (doc_id, values array). A word's places in a document tell how often it is in a window, so only
+def _values(body: Column) -> Column:
+    """The tokens of a text as an array."""
+    return F.transform(F.regexp_extract_all(segment._masked(body), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda v: F.lower(v))
+
+
+def scored(found: DataFrame, items: DataFrame, postings: DataFrame, docs: DataFrame, least: float = 0.72) -> DataFrame:
+    """(item_id, doc_id, start, end, overlap, ordered, score) of windows with the least score. docs:
+    (doc_id, text), of which those of such windows are tokenised. A word's places in a document tell how often it is in a window, so only
     windows whose overlap can still reach the least score are cut out and read in order."""
     anchor = items.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("apos", "value"))), lambda x: x["value"]).alias("anchor"))
     need = items.groupBy("item_id", "value").agg(F.count("*").alias("a"))
@@ -115,7 +109,8 @@ def scored(found: DataFrame, items: DataFrame, postings: DataFrame, values: Data
     inside = lambda p: F.size(F.filter(p["positions"], lambda x: (x >= F.col("start")) & (x < F.col("stop"))))
     shared = F.aggregate("parts", F.lit(0.0), lambda s, p: s + F.least(p["a"], inside(p)) * p["w"])
     near = both.withColumn("overlap", shared / F.col("whole")).where(F.col("overlap") >= (least - 0.35) / 0.65 - 1e-9).drop("parts")
-    cut = near.join(values, "doc_id").withColumn("window", F.slice("values", F.col("start") + 1, F.size("anchor")))
+    texts = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _values(F.col("text")).alias("values"))
+    cut = near.join(texts, "doc_id").withColumn("window", F.slice("values", F.col("start") + 1, F.size("anchor")))
     out = cut.withColumn("ordered", text.in_order(F.col("anchor"), F.col("window"))).withColumn("score", F.lit(0.65) * F.col("overlap") + F.lit(0.35) * F.col("ordered"))
     return out.where(F.col("score") >= least).select("item_id", "doc_id", "start", (F.col("start") + F.size("window")).alias("end"), "overlap", "ordered", "score")
 
@@ -133,13 +128,13 @@ def passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: flo
     sizes = Window.partitionBy("item_id", "chunk")
     spread = spread.withColumn("held", F.count("*").over(sizes)).where("chunk = 0 or held >= 8")
     mine = spread.select(F.struct("item_id", "chunk").alias("item_id"), (F.col("pos") % window).alias("apos"), "value")
-    arrays = docs.select("doc_id", F.transform(F.regexp_extract_all(segment._masked(F.col("text")), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda v: F.lower(v)).alias("values"))
-    # only documents' words that some item has are exploded
+    # only documents' words that some item has are exploded, once: all that follows reads their table
     wanted = mine.select("value").distinct()
-    words = arrays.select("doc_id", F.posexplode("values").alias("pos", "value")).join(wanted, "value", "left_semi")
-    found = segment.postings(words)
-    pairs = reaching(mine, found, least)
-    some = candidates(mine, found, arrays.select("doc_id", F.size("values").alias("size")), pairs)
-    placed = best(scored(some, mine, found, arrays, least)).withColumn("chunk", F.col("item_id.chunk")).withColumn("item_id", F.col("item_id.item_id"))
+    each = docs.select("doc_id", _values(F.col("text")).alias("values")).select("doc_id", F.size("values").alias("size"), F.posexplode("values").alias("pos", "value"))
+    found = each.join(wanted, "value", "left_semi").groupBy("doc_id", "value", "size").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    found = stored(found, "postings")
+    sizes = found.select("doc_id", "size").distinct()
+    some = stored(candidates(mine, found.drop("size"), sizes, reaching(mine, found, least)), "candidates")
+    placed = best(scored(some, mine, found.drop("size"), docs, least)).withColumn("chunk", F.col("item_id.chunk")).withColumn("item_id", F.col("item_id.item_id"))
     first = Window.partitionBy("item_id", "doc_id").orderBy("chunk")
     return placed.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "chunk")

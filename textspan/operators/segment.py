@@ -1,5 +1,6 @@
 """Texts to tables of lines, paragraphs, headings, citations, tokens and postings; each row knows its
-document and its offsets. Native: split parts and running lengths, no shuffle until postings."""
+document and its offsets. Native: split parts, and running lengths by a window for each document. Rows that
+share a key are taken as one document; give them keys of their own first."""
 
 from __future__ import annotations
 
@@ -118,3 +119,29 @@ def without_ignored(lines_of: DataFrame, known: DataFrame, key: str = "doc_id")
     event = F.when(F.col("name").isin(sorted(fixed.DROPPED_TITLES)), True).when(F.col("known"), False)
     w = Window.partitionBy(key).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("inside", F.coalesce(F.last(event, ignorenulls=True).over(w), F.lit(False))).where("not inside").select(key, "ord", "text")
+
+
+def token_chunks(docs: DataFrame, size: int = 60, least: int = 8, key: str = "doc_id", body: str = "text") -> DataFrame:
+    """(key, start, end) of the token chunks that anchor a passage: ``size`` tokens each, a last one of
+    ``least`` or more, and the only one whatever its size."""
+    counted = docs.select(key, F.size(text.ascii_words(F.col(body))).alias("n")).where("n > 0")
+    cut = counted.select(key, "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(size))).alias("start")).withColumn("end", F.least("n", F.col("start") + size))
+    return cut.where((F.col("n") <= size) | (F.col("end") - F.col("start") >= least)).select(key, "start", "end")
+
+
+def windows(found: DataFrame, size: int = 3, key: str = "doc_id") -> DataFrame:
+    """(key, start) of windows of ``size`` sentences, one after the other, and the last one. found: a row for
+    each sentence (key, idx)."""
+    n = found.groupBy(key).agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= size)
+    begins = F.array_union(F.sequence(F.lit(0), F.col("n") - size, F.lit(size)), F.array(F.col("n") - size))
+    return n.select(key, F.explode(begins).alias("start"))
+
+
+def chosen_references(cited: DataFrame, entries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, number, entry, renumbered): the numbers a text cites, in the order of their first citation;
+    those with an entry are numbered anew, the others have null. cited: (key, ord, number); entries:
+    (key, number, entry)."""
+    first = cited.groupBy(key, "number").agg(F.min("ord").alias("ord"))
+    found = first.join(entries, [key, "number"], "left")
+    place = F.row_number().over(Window.partitionBy(key, F.col("entry").isNotNull()).orderBy("ord"))
+    return found.select(key, "number", "entry", F.when(F.col("entry").isNotNull(), place).alias("renumbered"))

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from textspan.functions import fixed, text
 from textspan.operators import clean, match
+from textspan.sources.stored import stored
 
 
 def prepared(requests: DataFrame, mode: str = "latex") -> DataFrame:
-    """requests (req_id, html, copied) with what the methods share: clean text, captions, references."""
+    """requests (req_id, html, copied) with what the methods share: clean text, captions, references. A
+    page is read once for all of them; a chain that asks for several methods stores this first."""
     return requests.select("req_id", "html", "copied", clean.cited_page(F.col("html"), mode).alias("clean"), clean.captions("html").alias("captions"), clean.references("html").alias("items"))
 
 
@@ -29,12 +31,12 @@ def attempt(rows: DataFrame, method: str, mode: str = "latex", references: str =
 
 def attempts(rows: DataFrame, order: tuple[str, ...] = fixed.FALLBACKS, **settings) -> DataFrame:
     """(req_id, seq, method, outcome): each method is tried on the requests that all before it
-    failed; a method's outcomes are kept (persisted) for the next anti-join."""
-    tried, left = [], rows
+    failed; a method's outcomes are a table, since the next anti-join reads them too."""
+    tried, left = [], stored(rows, "prepared")
     for seq, method in enumerate(order):
         now = attempt(left, method, **settings).withColumn("seq", F.lit(seq))
         if seq + 1 < len(order):
-            now = now.persist()
+            now = stored(now, f"tried-{method}")
             left = left.join(now.where("status = 'ok'").select("req_id"), "req_id", "left_anti")
         tried.append(now)
     return reduce(DataFrame.unionByName, tried)
@@ -69,8 +71,8 @@ def best(rows: DataFrame, order: tuple[str, ...] = fixed.FALLBACKS, **settings)
 def compared(rows: DataFrame, root: str = "output", mode: str = "latex", settings: dict[str, dict] | None = None) -> DataFrame:
     """All methods on all requests: a row of COMPARISON_FIELDS (as strings, timings empty: Spark's own
     metrics hold them) for each, with equality to the two baselines. rows also has title and lang."""
-    per = settings or {}
-    tried = reduce(DataFrame.unionByName, (attempt(rows, m, mode, **per.get(m, {})) if m in match.RAW else attempt(rows, m, **per.get(m, {})) for m in fixed.METHODS)).persist()
+    per, rows = settings or {}, stored(rows, "prepared")
+    tried = stored(reduce(DataFrame.unionByName, (attempt(rows, m, mode, **per.get(m, {})) if m in match.RAW else attempt(rows, m, **per.get(m, {})) for m in fixed.METHODS)), "tried")
     base = rows.select("req_id", "title", "lang", "copied")
     ok = lambda m: tried.where(f"method = '{m}' and status = 'ok'").select("req_id", F.col("text").alias(f"{m}_text"))
     joined = tried.join(base, "req_id").join(ok("hybrid"), "req_id", "left").join(ok("token"), "req_id", "left")

@@ -16,6 +16,7 @@ from textspan.functions import text
 from textspan.operators import clean, match, segment
 from textspan.plans import best
 from textspan.sources import pages
+from textspan.sources.stored import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "passage_alignment"
@@ -36,10 +37,15 @@ T = (
     " a AS (SELECT item_id, unnest(range(0, len(ws))) AS apos, unnest(ws) AS value FROM b),"
     " p AS (SELECT doc_id, value, count(*) AS n, list(pos ORDER BY pos) AS ps FROM t WHERE value IN (SELECT value FROM a) GROUP BY doc_id, value),"
     " df AS (SELECT value, count(*) AS df FROM p GROUP BY value),"
-    " r8 AS (SELECT item_id, value FROM (SELECT item_id, value, row_number() OVER (PARTITION BY item_id ORDER BY df, value) AS r FROM (SELECT DISTINCT item_id, value FROM a) JOIN df USING (value)) WHERE r <= 8),"
-    " pr AS (SELECT DISTINCT item_id, doc_id FROM p JOIN r8 USING (value))"
+    " pr AS (SELECT DISTINCT item_id, doc_id FROM p JOIN a USING (value))"
 )
 STOP = ", ".join(f"'{w}'" for w in sorted(text.fixed.STOP_WORDS))
+#: Pairs that can reach the least score, out of all pairs that share a word.
+REACH = (
+    f", aw AS (SELECT item_id, value, count(*) * CASE WHEN value IN ({STOP}) OR length(value) <= 2 THEN 0.25 ELSE 1.0 END AS w, coalesce(max(df), 0) AS df FROM a LEFT JOIN df USING (value) GROUP BY item_id, value),"
+    " ab AS (SELECT *, sum(w) OVER (PARTITION BY item_id ORDER BY df, value ROWS UNBOUNDED PRECEDING) - w AS before, sum(w) OVER (PARTITION BY item_id) AS whole FROM aw),"
+    " rp AS (SELECT DISTINCT item_id, doc_id FROM p JOIN ab USING (value) WHERE before <= (1 - (0.72 - 0.35) / 0.65 + 1e-6) * whole)"
+)
 C = (
     ", o AS (SELECT item_id, value, list_slice(list(apos ORDER BY apos), 1, 3) AS qs FROM a GROUP BY item_id, value),"
     " me AS (SELECT pr.item_id, pr.doc_id, value, n, ps, qs, len(vs) AS size,"
@@ -102,8 +108,8 @@ on_marked("drop_citations", f"regexp_replace(t, '{CIT}', '', 'g') AS value", val
 on_marked("drop_maintenance", r"regexp_replace(t || ' [Citation needed] x [dubious - discuss]', '(?i)\[\s*(?:citation needed|better source needed|clarification needed|dubious\s*[\x{2013}\x{2014}-]\s*discuss)\s*\]', '', 'g') AS value", value=lambda c: text.drop_maintenance(F.concat(c, F.lit(" [Citation needed] x [dubious - discuss]"))))
 on_marked("tidy_references", TIDY.format("t") + " AS value", value=text.tidy)
 on_marked("tidy_captions", TIDY.format(rf"regexp_replace(regexp_replace('Edit ' || t, '{CIT}', '', 'g'), '(?i)\bedit\b', '', 'g')") + " AS value", value=lambda c: text.caption(F.concat(F.lit("Edit "), c)))
-FORMULA = r"'\text{v}  = \frac{' || left(t, 20) || '}_2 ,;'"
-FORMULA_C = lambda c: F.concat(F.lit("\\text{v}  = \\frac{"), F.substring(c, 1, 20), F.lit("}_2 ,;"))
+FORMULA = r"'\text{v}  = \frac{' || t || '}_2 ,;'"
+FORMULA_C = lambda c: F.concat(F.lit("\\text{v}  = \\frac{"), c, F.lit("}_2 ,;"))
 on_marked("latex_forms", rf"regexp_replace(trim(replace(regexp_replace({FORMULA}, '\s+', ' ', 'g'), '\text{{', '\mathrm{{')), '[,.;:]+$', '') AS value", value=lambda c: text.latex(FORMULA_C(c)))
 on_marked(
     "formula_identifiers",
@@ -113,7 +119,7 @@ on_marked(
 HEAD = r"regexp_matches({0}, '^\s*==\s*.*?\s*==\s*$')"
 on_lines("section_titles", rf"CASE WHEN {HEAD.format('x')} THEN lower(trim(regexp_extract(x, '^\s*==\s*(.*?)\s*==\s*$', 1))) ELSE lower(trim(x)) END AS title, {HEAD.format('x')} AS is_heading", title=text.title_of, is_heading=text.is_heading)
 on_marked("plain_headings", r"regexp_replace(t, '(?m)^[ \t]*==+[ \t]*([^\n]*?)[ \t]*==+[ \t]*$', '== \1 ==', 'g') AS value", value=text.plain_headings)
-on_lines("glyph_titles", r"length(trim(left(x, 2))) > 0 AND NOT regexp_matches(left(x, 2), '[\p{L}\p{N}_]') AS glyph", glyph=lambda c: text.glyph(F.substring(c, 1, 2)))
+on_lines("glyph_titles", r"length(trim(x)) > 0 AND NOT regexp_matches(x, '[\p{L}\p{N}_]') AS glyph", glyph=text.glyph)
 S = r"regexp_replace(trim(x), '[,.;:]+$', '')"
 SEEN = r"length(regexp_replace(trim(x), '\s', '', 'g'))"
 LETTERS = r"length(regexp_replace(trim(x), '\P{L}', '', 'g'))"
@@ -151,37 +157,36 @@ on_marked("unicode_words", r"regexp_extract_all(lower(t), '[\p{L}\p{N}]+') AS wo
 on_marked("cited_numbers", rf"""flatten(list_transform(regexp_extract_all(t, '{CIT}'), lambda c: flatten(list_transform(string_split(trim(c, '[]'), ','), lambda q:
   CASE WHEN regexp_matches(trim(q), '^\d+\s*-\s*\d+$') THEN list_transform(range(CAST(regexp_extract(trim(q), '^(\d+)', 1) AS BIGINT), CAST(regexp_extract(trim(q), '(\d+)$', 1) AS BIGINT) + 1), lambda n: CAST(n AS VARCHAR))
   ELSE [trim(q)] END)))) AS numbers""", numbers=text.cited_numbers)
-on_marked("unique_numbers", "list_transform(list_distinct([CAST(doc_id % 3 AS VARCHAR), '1', CAST(doc_id % 3 AS VARCHAR)]), lambda x: x) AS numbers", numbers=lambda c: F.array_distinct(F.array((F.col("doc_id") % 3).cast("string"), F.lit("1"), (F.col("doc_id") % 3).cast("string"))))
-ORACLES["unique_numbers"] = f"WITH {M} SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN ['1'] ELSE [CAST(doc_id % 3 AS VARCHAR), '1'] END AS numbers FROM m"
+query("unique_numbers", f"WITH {M} SELECT doc_id, list_filter(numbers, lambda x, i: list_position(numbers, x) = i) AS numbers FROM ({ORACLES['cited_numbers']})".replace(f"WITH {M} SELECT doc_id, list_filter", "SELECT doc_id, list_filter"))(
+    lambda s, d: marked(s, d).select("doc_id", text.unique(text.cited_numbers(F.col("t"))).alias("numbers"))
+)
 on_marked("topic_headings", "CASE WHEN starts_with(lower(trim(t)), lower('== Intro 1 ==')) THEN trim(t) ELSE '== Intro 1 ==' || chr(10) || chr(10) || trim(t) END AS value", value=lambda c: text.with_topic(c, F.lit("Intro 1")))
-on_marked("note_sections", "'== Notes ==' || chr(10) || '^ a ^ b Some note.' AS section, true AS has_body", section=text.note_section, has_body=text.notes_have_body)
-on_marked("empty_notes", r"CASE WHEN contains(left(t, 200), '== Notes ==') THEN left(t, 200) || chr(10) || '== Notes ==' ELSE trim(regexp_replace(left(t, 200) || chr(10) || '== Notes ==', '(?i)\n{0,2}(?:==\s*)?(?:Notes?)(?:\s*==)?\s*\z', ''), ' ' || chr(10)) END AS value", value=lambda c: text.drop_empty_notes(F.concat(F.substring(c, 1, 200), F.lit("\n== Notes =="))))
+#: Texts of even documents end in a Notes heading alone, those of odd ones in a note.
+NOTED = "CASE WHEN doc_id % 2 = 0 THEN split_part(t, chr(10) || '== Notes ==', 1) || chr(10) || '== Notes ==' ELSE t END"
+NOTED_C = lambda c: F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring_index(c, "\n== Notes ==", 1), F.lit("\n== Notes =="))).otherwise(c)
+on_marked("note_sections", "'== Notes ==' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || '^ a ^ b Some note.' END AS section, doc_id % 2 <> 0 AS has_body", section=lambda c: text.note_section(NOTED_C(c)), has_body=lambda c: text.notes_have_body(NOTED_C(c)))
+on_marked("empty_notes", "CASE WHEN doc_id % 2 = 0 THEN regexp_replace(split_part(t, chr(10) || '== Notes ==', 1), '^\\s+|\\s+$', '', 'g') ELSE t END AS value", value=lambda c: text.drop_empty_notes(NOTED_C(c)))
 SQ = r"trim(regexp_replace(t, '\s+', ' ', 'g'))"
 on_marked("short_anchors", f"CASE WHEN length({SQ}) <= 180 THEN {SQ} ELSE left({SQ}, 177) || '...' END AS anchor", anchor=text.short)
 on_marked("boundary_words", r"regexp_extract_all(t, '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*')[1] AS first, regexp_extract_all(t, '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*')[-1] AS last", first=lambda c: text.edge_words(c)["first"], last=lambda c: text.edge_words(c)["last"])
 on_marked("text_digests", "left(sha256(t), 16) AS digest", digest=text.digest)
 on_marked("report_values", r"trim(regexp_extract('Status: ok' || chr(10) || 'Start offset:  ' || doc_id || chr(10), '(?m)^Start offset:\s*(.+)$', 1)) AS value", value=lambda c: text.report_value(F.concat(F.lit("Status: ok\nStart offset:  "), F.col("doc_id"), F.lit("\n")), "Start offset"))
-on_marked("failure_texts", "'Benchmark method failed' || chr(10) || chr(10) || 'Method: dmp' || chr(10) || 'Error: e' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || chr(10) || 'Report:' || chr(10) || trim(left(t, 30), ' ' || chr(10)) END AS value", value=lambda c: text.failure_text(F.lit("dmp"), F.lit("e"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(F.substring(c, 1, 30))))
-on_marked("telling_chunks", "len(regexp_extract_all(substr(t, 13, 20), '[a-z0-9]{3,}')) >= 2 OR (length(trim(substr(t, 13, 20))) >= 18 AND len(regexp_extract_all(substr(t, 13, 20), '[a-z0-9]{3,}')) >= 1) AS telling", telling=lambda c: text.telling(F.substring(c, 13, 20)))
+on_marked("failure_texts", "'Benchmark method failed' || chr(10) || chr(10) || 'Method: dmp' || chr(10) || 'Error: e' || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || chr(10) || 'Report:' || chr(10) || trim(t, ' ' || chr(10)) END AS value", value=lambda c: text.failure_text(F.lit("dmp"), F.lit("e"), F.when(F.col("doc_id") % 2 == 0, "").otherwise(c)))
+on_lines("telling_chunks", "len(regexp_extract_all(x, '[a-z0-9]{3,}')) >= 2 OR (length(trim(x)) >= 18 AND len(regexp_extract_all(x, '[a-z0-9]{3,}')) >= 1) AS telling", telling=text.telling)
 on_marked("cut_spans", r"regexp_replace(left(t, 40), '[ \t]+$', '') || regexp_replace(substr(t, 61), '^[ \t]+', '') AS value, regexp_matches(regexp_extract(left(t, 40), '([^\n]*)$', 1), '^\s*$') AS at_line_start", value=lambda c: text.cut_out(c, F.lit(40), F.lit(60)), at_line_start=lambda c: text.at_line_start(c, F.lit(40)))
 on_marked("paragraph_counts", r"CAST(len(list_filter(string_split_regex(t, '\n\s*\n'), lambda x: trim(x) <> '')) AS INTEGER) AS n", n=segment.paragraph_count)
 on_marked("exact_windows", "instr(t, substr(t, 31, 12)) - 1 AS first, length(t) - instr(reverse(t), reverse(substr(t, 31, 12))) - 12 + 1 AS last", first=lambda c: text.find_exact(c, F.substring(c, 31, 12)), last=lambda c: text.find_exact(c, F.substring(c, 31, 12), last=True))
-on_marked("section_free_texts", r"trim(regexp_replace(regexp_replace(t, '\n== References ==\n1\. one\n', chr(10) || chr(10)), '\s+$', '')) AS value", value=lambda c: _without_references(c))
-on_marked("reference_blocks", "'== References ==' || chr(10) || chr(10) || '1. ' || left(t, 12) || chr(10) || chr(10) || '2. b' AS block", block=lambda c: text.reference_block(F.array(F.lit("1"), F.lit("2")), F.array(F.substring(c, 1, 12), F.lit("b"))))
-on_marked("anchor_scores", "0.0 AS least", least=lambda c: text.least_score(F.substring(c, F.lit(1), (F.col("doc_id") % 20 + 10).cast("int")), 0.92))
-ORACLES["anchor_scores"] = (
-    f"WITH {M}, q AS (SELECT doc_id, left(t, 10 + doc_id % 20) AS x FROM m) SELECT doc_id, CASE WHEN length({norm('x')}) < 14 THEN CAST(0.95 AS DOUBLE)"
+on_marked("section_free_texts", r"trim(regexp_replace(regexp_replace(t, '\n== References ==\n1\. one\n', chr(10) || chr(10)), '\s+$', '')) AS value", value=text.without_references)
+on_marked("reference_blocks", "'== References ==' || chr(10) || chr(10) || '1. ' || t || chr(10) || chr(10) || '2. b' AS block", block=lambda c: text.reference_block(F.array(F.lit("1"), F.lit("2")), F.array(c, F.lit("b"))))
+on_lines(
+    "anchor_scores",
+    f"CASE WHEN length({norm('x')}) < 14 THEN CAST(0.95 AS DOUBLE)"
     rf" WHEN ({SEEN} > 0 AND (({SIGNS} >= 2 AND {SIGNS} / greatest({SEEN}, 1) >= 0.12) OR ({SEEN} >= 3 AND {LETTERS} / greatest({SEEN}, 1) < 0.35 AND {SIGNS} >= 1)"
-    r" OR regexp_matches(trim(x), '\b[a-zA-Z]\s*[=∝]\s*[A-Za-z0-9]'))) OR contains(x, '$') OR len(regexp_extract_all(x, '\b[A-Za-z]\b')) >= 5 THEN CAST(0.87 AS DOUBLE) ELSE CAST(0.92 AS DOUBLE) END AS least FROM q"
+    r" OR regexp_matches(trim(x), '\b[a-zA-Z]\s*[=∝]\s*[A-Za-z0-9]'))) OR contains(x, '$') OR len(list_filter(regexp_extract_all(right(x, 140), '[\p{L}\p{N}_]+'), lambda w: regexp_matches(w, '^[A-Za-z]$'))) >= 5 THEN CAST(0.87 AS DOUBLE) ELSE CAST(0.92 AS DOUBLE) END AS least",
+    least=lambda c: text.least_score(c, 0.92),
 )
 
 
-def _without_references(c: Column) -> Column:
-    """Without the References section, which lasts to the next heading."""
-    gone = F.regexp_replace(c, r"(?s)\s*(?m:^)== References ==(?m:$).*?(?=(?m:^)== |\z)", "\n\n")
-    return text.squeeze_ends(gone)
-
-
 # -- addresses, files and reports ----------------------------------------------------------------
 
 
@@ -296,9 +301,7 @@ def citation_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def citation_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = marked(spark, sf_dir)
     found = segment.citations(docs, "doc_id", "t").join(docs, "doc_id")
-    return found.select("doc_id", "ord", F.slice(text.words(text.comparable_plain(F.substring("t", F.col("end") + 1, F.lit(240)))), 1, 3).alias("after"))
-
-
+    return found.select("doc_id", "ord", text.context(F.col("t"), F.col("end")).alias("after"))
 
 
 @query(
@@ -345,19 +348,21 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     " FROM d, unnest(range(0, n, 60)) AS u(i) WHERE n <= 60 OR least(n, u.i + 60) - u.i >= 8",
 )
 def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", F.size(text.ascii_words(F.col("text"))).alias("n")).where("n > 0")
-    cut = docs.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(60))).alias("start")).withColumn("end", F.least("n", F.col("start") + 60))
-    return cut.where("n <= 60 or end - start >= 8").select("doc_id", "start", "end")
+    return segment.token_chunks(documents(spark, sf_dir))
 
 
 @query(
-    "sentence_windows",
-    "WITH d AS (SELECT doc_id, n_chars % 20 AS n FROM documents) SELECT doc_id, CAST(s AS INTEGER) AS start FROM (SELECT doc_id, unnest(range(0, n - 2, 3)) AS s FROM d WHERE n >= 3 UNION SELECT doc_id, n - 3 FROM d WHERE n >= 3)",
+    "line_windows",
+    f"WITH {L}, n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id HAVING count(*) >= 3) SELECT doc_id, CAST(s AS INTEGER) AS start FROM (SELECT doc_id, unnest(range(0, n - 2, 3)) AS s FROM n UNION SELECT doc_id, n - 3 FROM n)",
 )
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.windows(marked_lines(spark, sf_dir))
+
+
+@query("sentence_windows")
 def sentence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", (F.col("n_chars") % 20).cast("int").alias("n")).where("n >= 3")
-    begins = F.array_union(F.sequence(F.lit(0), F.col("n") - 3, F.lit(3)), F.array(F.col("n") - 3))
-    return docs.select("doc_id", F.explode(begins).alias("start"))
+    found = marked(spark, sf_dir).select("doc_id", F.posexplode(clean.sentences("t")).alias("idx", "s"))
+    return segment.windows(found)
 
 
 @query(
@@ -413,34 +418,36 @@ def kept_copied_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "reference_choice",
-    "WITH n AS (SELECT DISTINCT source, doc_id % 40 AS number FROM documents), e AS (SELECT l_linenumber AS number, min(l_comment) AS entry FROM (SELECT l_linenumber, CAST(l_partkey AS VARCHAR) AS l_comment FROM lineitem) GROUP BY l_linenumber)"
-    " SELECT source, n.number, entry, CAST(CASE WHEN entry IS NOT NULL THEN row_number() OVER (PARTITION BY source, entry IS NOT NULL ORDER BY n.number) END AS INTEGER) AS renumbered FROM n LEFT JOIN e USING (number)",
+    f"WITH q AS ({ORACLES['unique_numbers']}), n AS (SELECT doc_id, unnest(range(0, len(numbers))) AS ord, unnest(numbers) AS number FROM q),"
+    " e AS (SELECT *, CASE WHEN CAST(number AS BIGINT) % 3 <> doc_id % 3 THEN 'Entry ' || number END AS entry FROM n)"
+    " SELECT doc_id, number, entry, CAST(CASE WHEN entry IS NOT NULL THEN row_number() OVER (PARTITION BY doc_id, entry IS NOT NULL ORDER BY ord) END AS INTEGER) AS renumbered FROM e",
 )
 def reference_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Present and missing entries of cited numbers; present ones are renumbered in order."""
-    cited = documents(spark, sf_dir).select("source", (F.col("doc_id") % 40).alias("number")).distinct()
-    entries = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy(F.col("l_linenumber").alias("number")).agg(F.min(F.col("l_partkey").cast("string")).alias("entry"))
-    w = Window.partitionBy("source", F.col("entry").isNotNull()).orderBy("number")
-    return cited.join(entries, "number", "left").select("source", "number", "entry", F.when(F.col("entry").isNotNull(), F.row_number().over(w)).alias("renumbered"))
+    """Entries of two thirds of the numbers that texts may cite."""
+    docs = marked(spark, sf_dir)
+    cited = docs.select("doc_id", F.posexplode(text.cited_numbers(F.col("t"))).alias("ord", "number"))
+    entries = cited.select("doc_id", "number").distinct().where(F.col("number").cast("long") % 3 != F.col("doc_id") % 3).withColumn("entry", F.concat(F.lit("Entry "), F.col("number")))
+    return segment.chosen_references(cited, entries)
 
 
 # -- alignment -----------------------------------------------------------------------------------
 
 
-@query("blocked_pairs", f"WITH {T} SELECT item_id, doc_id FROM pr")
-def blocked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.blocked(_items(spark, sf_dir), segment.postings(segment.tokens(documents(spark, sf_dir))))
+@query("reaching_pairs", f"WITH {T}{REACH} SELECT item_id, doc_id FROM rp")
+def reaching_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.reaching(_items(spark, sf_dir), segment.postings(segment.tokens(documents(spark, sf_dir))))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first chunk of each item."""
     return segment.tokens(benchmark(spark, sf_dir), "item_id").where(F.col("pos") < match.WINDOW).select("item_id", F.col("pos").alias("apos"), "value")
 
 
-@query("candidate_windows", f'WITH {T}{C} SELECT item_id, doc_id, CAST(start AS INTEGER) AS start, votes, CAST("order" AS INTEGER) AS "order" FROM ca')
+@query("candidate_windows", f'WITH {T}{REACH}{C.replace("FROM pr", "FROM rp pr")} SELECT item_id, doc_id, CAST(start AS INTEGER) AS start, votes, CAST("order" AS INTEGER) AS "order" FROM ca')
 def candidate_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, docs = _items(spark, sf_dir), documents(spark, sf_dir)
-    found = segment.postings(segment.tokens(docs))
-    return match.candidates(items, found, docs.select("doc_id", F.size(text.ascii_words(F.col("text"))).alias("size")), match.blocked(items, found))
+    found = stored(segment.postings(segment.tokens(docs).join(items.select("value").distinct(), "value", "left_semi")), "postings")
+    return match.candidates(items, found, docs.select("doc_id", F.size(text.ascii_words(F.col("text"))).alias("size")), match.reaching(items, found))
 
 
 @query(
