@@ -131,12 +131,17 @@ def test_hilbert_steps_are_neighbours(spark):
     assert all(sum(abs(a - b) for a, b in zip(p[1:], q[1:], strict=True)) == 1 for p, q in zip(path, path[1:], strict=False))
 
 
-def test_search_is_nearly_brute_force(spark):
+def _search_rows():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 24))
     odd = [(5000, None), (5001, [0.0] * 24), (5002, [float("nan")] * 24), (5003, [1.0, None] + [0.0] * 22), (None, [1.0] * 24), (5004, [1.0] * 3), (5005, x[7].tolist()), (5006, x[7].tolist()), (7, x[7].tolist())]
-    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)] + odd, "vec_id long, embedding array<double>")
-    got = hamming.search(df, index=hamming.Index(row_block=400, query_block=5)).collect()
+    return x, [(i, [float(y) for y in v]) for i, v in enumerate(x)] + odd
+
+
+def test_search_is_nearly_brute_force(spark):
+    x, rows = _search_rows()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = hamming.search(clash(df.withColumn("doc_id", F.lit(1)).withColumn("EMBEDDING2", F.lit(0))), index=hamming.Index(row_block=400)).collect()
     ids = np.array([*range(1500), 5005, 5006])
     v = np.concatenate([x, x[[7, 7]]])
     hits = 0
@@ -152,19 +157,67 @@ def test_search_is_nearly_brute_force(spark):
     assert {r["query_id"] for r in got} == set(range(0, 1500, 100))
 
 
+def _recall(got, v, ids, queries):
+    hits = 0
+    for q in queries:
+        far = ((v - v[ids == q]) ** 2).sum(axis=1)
+        far[ids == q] = np.inf
+        hits += len({int(ids[i]) for i in np.argsort(far)[:10]} & got[q])
+    return hits / (10 * len(queries))
+
+
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_recall_on_whole_tables(spark, folder):
+    df = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    rows, got = df.toPandas(), defaultdict(set)
+    for r in hamming.op3(df).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    v, ids = np.array(rows["embedding"].tolist(), np.float64), rows["vec_id"].to_numpy()
+    assert _recall(got, v, ids, [int(i) for i in ids if i % 100 == 0]) >= 0.9
+
+
+def test_probes_retrieve_the_near_and_few_others():
+    """Recall of the ten nearest, and the share of rows that is ranked, of the first probes."""
+    rng, index = np.random.default_rng(4), hamming.Index()
+    v = rng.normal(size=(400, 48))[rng.integers(0, 400, 20_000)] + 0.35 * rng.normal(size=(20_000, 48))
+    mean, projection = hamming.learn(v[:4096], index)
+    values, change = hamming.encode(v, mean, projection, index), hamming.masks(index.width, index.near)
+    hits, shares = [], []
+    for q in range(0, 20_000, 1000):
+        near = np.isin(values ^ values[q], change).any(axis=1)
+        far = ((v - v[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits.append(near[np.argsort(far)[:10]].mean())
+        shares.append(near.mean())
+    print(np.mean(hits), np.mean(shares))
+    assert np.mean(hits) >= 0.9 and np.mean(shares) <= 0.15
+
+
+def test_many_equal_vectors_and_far_ones(spark):
+    """Rows that no probe of a query reaches are found all the same; copies come in order of vec_id."""
+    rows = [(i, [1.0, 0.5, 0.25]) for i in range(40)] + [(100 + i, [-1.0 - i, -0.5, 3.0 * i]) for i in range(6)] + [(200, [float(-i) for i in range(3)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = rows_of(hamming.search(df, every=100).select("query_id", "rank", "vec_id"))
+    want, v = [], {i: np.array(x) for i, x in rows}
+    for q in (0, 100, 200):
+        order = sorted((float(np.sqrt(((v[i] - v[q]) ** 2).sum())), i) for i in v if i != q)[:10]
+        want += [(q, k, i) for k, (_, i) in enumerate(order, 1)]
+    assert got == sorted(want, key=str)
+
+
 def test_search_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.5]), (2, [1.0, 1.5])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["rank"]) for r in hamming.op3(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     assert hamming.op3(few.limit(0)).collect() == []
 
 
-def test_codes_within_a_radius_are_all_found():
+def test_codes_within_the_radius_share_a_probe():
     rng = np.random.default_rng(2)
-    codes = rng.integers(0, 256, (500, 8)).astype(np.uint8)
-    tables = hamming.Tables(codes, hamming.Index())
-    for r in (20, 26, 31):
-        want = np.flatnonzero(np.bitwise_count(codes ^ codes[3]).sum(axis=1) <= r)
-        assert np.array_equal(tables.within(codes[3], r), want)
+    index = hamming.Index(substrings=8, width=8, near=2)
+    values, change = rng.integers(0, 256, (3000, 8)), hamming.masks(8, 2)
+    far = np.bitwise_count(values ^ values[3]).sum(axis=1)
+    hit = np.isin(values ^ values[3], change).any(axis=1)
+    assert index.radius == 23 and hit[far <= index.radius].all() and (far <= index.radius).sum() > 20 and len(change) == 37
 
 
 def test_mixing(docs):
@@ -193,15 +246,38 @@ def test_mixing(docs):
     assert rows_of(mixing.op4(docs.repartition(5))) == sorted(map(tuple, rows), key=str)
 
 
-def test_budget_fitting():
+def test_budget_fitting_is_the_exact_subset_sum():
     rng = random.Random(3)
-    for _ in range(200):
-        lengths = [(n, rng.randint(1, 4)) for n in rng.sample(range(1, 40), rng.randint(1, 6))]
+    for _ in range(1000):
+        longest = rng.choice([40, 2000, 60_000])
+        lengths = [(n, rng.randint(1, 9)) for n in rng.sample(range(1, longest), rng.randint(1, 9))]
         total = sum(n * c for n, c in lengths)
         budget = rng.randint(0, total + 5)
+        sums = 1
+        for n, c in lengths:
+            for _ in range(c):
+                sums |= sums << n
+        best = (sums & ((1 << min(budget, total) + 1) - 1)).bit_length() - 1
         got = mixing.fit(lengths, budget)
-        assert all(0 <= got.get(n, 0) <= c for n, c in lengths) and sum(n * got.get(n, 0) for n, _ in lengths) <= budget
-    assert sum(n * c for n, c in mixing.fit([(7, 10), (3, 10), (1, 3)], 44).items()) == 44
+        assert all(0 <= got.get(n, 0) <= c for n, c in lengths) and sum(n * got.get(n, 0) for n, _ in lengths) == best
+    assert sum(n * c for n, c in mixing.fit([(4500, 9), (50_000, 2)], 22_000).items()) == 18_000
+
+
+def test_each_row_is_mixed_by_itself(spark):
+    """Rows that share a doc_id, null ids among them, get the copies that the mix grants to rows."""
+    rows = [(None, "one two three " * (i % 3 + 1), "en", "a", i) for i in range(6)] + [(5, "w " * n, "en", "b", n) for n in (4, 4, 9)] + [(i, "x y z", None, None, 0) for i in range(20)] + [(99, None, None, "b", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    words = lambda t: len((t or "").split())
+    granted = defaultdict(int)
+    for r in mixing.op4(df).collect():
+        granted[r["source"]] += r["taken"]
+    emitted = defaultdict(int)
+    out = mixing.mixed(clash(df)).collect()
+    for r in out:
+        emitted[r[3]] += words(r[1])
+    assert {s: n for s, n in granted.items() if n} == dict(emitted) and len(out[0]) == 10
+    copies = Counter(tuple(r[:5]) for r in out)
+    assert max(copies.values()) <= 6
 
 
 def _removed(rows, length=50):
@@ -229,6 +305,59 @@ def test_repeats_are_brute_force(docs, plan):
     assert got == sorted([(r[0], *x) for r, x in zip(ROWS, _removed(keyed), strict=True)], key=str)
 
 
+def test_doubling_is_brute_force(spark):
+    rows = [(3, "abcdefgh" * 4), (1, "xxabcdefghabcd" * 2), (None, "abcdefghabcdefghab"), (7, "short"), (8, None), (1, "abcdefghabcdefgh")]
+    keyed = [(repeats.NO_ID if d is None else d, (t or "").encode()) for d, t in rows]
+    first = {}
+    for k, b in keyed:
+        for i in range(len(b) - 11):
+            first[b[i : i + 12]] = min(first.get(b[i : i + 12], k), k)
+    want = [(None if k == repeats.NO_ID else k, i) for k, b in keyed for i in range(len(b) - 11) if first[b[i : i + 12]] < k]
+    got = repeats.doubling(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_the_largest_doc_id_is_not_null(spark):
+    df = spark.createDataFrame([(2**63 - 1, "a" * 60), (None, "b" * 60), (-(2**63), "c d")], "doc_id long, text string")
+    assert {r["doc_id"] for r in repeats.op5(df).collect()} == {2**63 - 1, None, -(2**63)}
+    assert {r["doc_id"] for r in tokenfile.op8(df).collect()} == {2**63 - 1, None, -(2**63)}
+
+
+def _plain_chunks(text):
+    """The rule of the operator's description, by itself: a cut after a line where the two last lines' hashes,
+    the older one turned by one bit, agree in the lowest bit, if two lines or more are behind it."""
+    from xxhash import xxh64_intdigest
+
+    lines_, out, start = text.split("\n"), [], 0
+    h = [xxh64_intdigest(x.encode()) for x in lines_]
+    for i in range(len(lines_)):
+        older = ((h[i - 1] << 1) | (h[i - 1] >> 63)) if i else 0
+        if (older ^ h[i]) & 1 == 0 and i + 1 - start >= 2:
+            out.append(lines_[start : i + 1])
+            start = i + 1
+    return out + [lines_[start:]] * (start < len(lines_))
+
+
+def test_line_chunks_of_a_whole_table_are_the_plain_rule(spark):
+    rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect())
+    seen, want = set(), []
+    for d, t in rows:
+        kept, n = [], 0
+        for chunk in _plain_chunks(t):
+            body = "\n".join(chunk)
+            telling = sum(bool(x.strip()) for x in chunk) >= 2 and sum(map(len, chunk)) >= 40
+            if body in seen and telling:
+                n += len(chunk)
+            else:
+                kept += chunk
+            seen.add(body)
+        raw = "\n".join(kept).encode()
+        want.append((d, t.count("\n") + 1, n, len(raw), hashlib.sha256(raw).hexdigest()))
+    got = lines.op6(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert rows_of(got.select("doc_id", "n_lines", "n_removed", "kept_bytes", "kept_sha256")) == sorted(want, key=str)
+    assert sum(w[2] for w in want) > 50
+
+
 def test_line_chunks(spark):
     cuts = lines.Cuts()
     part = [f"shared line number {i} of a passage that stands in many documents" for i in range(12)]
@@ -283,6 +412,32 @@ def test_joining_halves_changes_nothing(monkeypatch, leaf):
         assert codec.pieces(t) == codec.all(t)
 
 
+@pytest.mark.parametrize("leaf", [3, 40])
+def test_tokens_are_joined_across_cuts(monkeypatch, leaf):
+    import public_tokenizers as P
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    monkeypatch.setattr(bpe, "BYTES", 4)
+    ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(leaf)
+    for _ in range(1500):
+        some = rng.choice(["a", "ab", "the ", "aeinrst", "é中x", "-=", "0123", " \n"])
+        t = "".join(rng.choice(some) for _ in range(rng.choice([3, 20, 90, 300])))
+        assert list(codec.encode(t)) == library.encode_ordinary(t)
+        assert codec.decode(codec.encode(t)) == t.encode()
+
+
+@pytest.mark.parametrize("text", ["a" * 300_000, "".join(random.Random(9).choice("abcdefgh") for _ in range(1 << 20))])
+def test_one_very_long_piece(text):
+    import public_tokenizers as P
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    assert list(bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN).encode(text)) == library.encode_ordinary(text)
+
+
 def test_token_files(docs, spark, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer

@@ -2,45 +2,67 @@
 
 Codes: principal axes of a bounded sample, turned by a rotation that is learned to bring the
 projections close to their signs (iterative quantisation); with fewer dimensions than bits further
-rotations of the same axes follow. A code is cut into substrings, each indexed by value. If two
-codes differ by at most ``radius`` bits, some substring differs by at most radius // substrings:
-probing all values that near in every substring retrieves every code within the radius. What the
-probes retrieve and is within the radius is ranked by exact Euclidean distance in double precision.
-A query with fewer than k codes within its radius goes on, one bit more for each substring at a
-time, until k rows are found or all are; so a query has k neighbours whenever there are as many.
-
-Work is dealt in blocks: every block of queries meets every block of indexed rows, each pair a task
-of bounded size that returns k rows for a query; nothing is broadcast and no pairs are listed.
-
-Vectors that are null, zero, of another length than most, or hold null or non-finite components
-take no part, as queries or as candidates; rows with a null vec_id neither. Ties in distance go to
-the smaller vec_id. Rows that share a vec_id with the query are the query's own. Repeated rows: one
-of each (vec_id, vector) takes part. An empty table gives an empty result.
+rotations of the same axes follow. A code is cut into substrings. The index is a table with a row
+(substring, value) -> vector for each of them; a query's probes are all values within ``near`` bits
+of its own in each substring, and an equality join brings candidates. If two codes differ by fewer than
+substrings * (near + 1) bits, some substring differs by at most ``near``: every code within that
+radius is retrieved, and farther ones as often as one of their substrings is close. Candidates are
+ranked by exact Euclidean distance in double precision on the original vectors.
+
+A query that retrieves fewer than ``least`` rows, too few to hold its neighbours for certain, goes on with
+one bit more, up to ``widest``; what is left then, which takes a small table or a lonely query, is
+compared with all rows.
+
+Equal vectors are one entry, with the k + 1 smallest of their vec_ids, which is all that k neighbours
+can need; equal queries are one search. Each vector moves once, to its block of rows; queries go to the blocks
+where they have candidates; a task holds one block and returns k + 1 rows for a query.
+
+Vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
+candidates; nor do rows with a null vec_id, or vectors of another length than most, from which no
+distance is defined. Ties in distance go to the smaller vec_id. Rows that share a vec_id with the
+query are the query's own. Repeated rows: one of each (vec_id, vector) takes part; a vec_id with
+several vectors counts by its nearest. An empty table gives an empty result. Only the two columns
+named are read, exact names first, so extra ones may clash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textspan.llm.common import table, unambiguous
+from textspan.llm.common import by_arrow, release, table, unambiguous
+
+_RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass(frozen=True)
 class Index:
-    bits: int = 64
-    substrings: int = 8
-    radius: int = 31
+    """width: bits of a substring, 16 at most."""
+
+    substrings: int = 64
+    width: int = 16
+    near: int = 2
+    widest: int = 3
+    least: int = 1024
     #: Vectors that the axes and the rotation are learned from, at most.
     sample: int = 4096
     turns: int = 30
-    query_block: int = 2048
-    row_block: int = 32768
+    row_block: int = 16384
+
+    @property
+    def bits(self) -> int:
+        return self.substrings * self.width
+
+    @property
+    def radius(self) -> int:
+        """Every code that differs by as many bits is retrieved."""
+        return self.substrings * (self.near + 1) - 1
 
 
 def learn(vectors: np.ndarray, index: Index = Index()) -> tuple[np.ndarray, np.ndarray]:
@@ -63,102 +85,135 @@ def learn(vectors: np.ndarray, index: Index = Index()) -> tuple[np.ndarray, np.n
     return mean, np.concatenate(parts, axis=1)
 
 
-def encode(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Codes as bytes, bits in order."""
-    return np.packbits((vectors - mean) @ projection > 0, axis=1, bitorder="little")
+def encode(vectors: np.ndarray, mean: np.ndarray, projection: np.ndarray, index: Index = Index()) -> np.ndarray:
+    """The values of each code's substrings."""
+    bits = ((vectors - mean) @ projection > 0).reshape(len(vectors), index.substrings, index.width)
+    return bits.astype(np.int64) @ (1 << np.arange(index.width))
 
 
-class Tables:
-    """The substring tables of one block: rows ordered by substring value, and where each value begins."""
+def masks(width: int, near: int) -> np.ndarray:
+    """What to change in a substring for every value within ``near`` bits of it."""
+    return np.array([sum(1 << b for b in some) for n in range(min(near, width) + 1) for some in combinations(range(width), n)], np.int64)
 
-    def __init__(self, codes: np.ndarray, index: Index) -> None:
-        self.codes, self.index = codes, index
-        self.order, self.starts = [], []
-        for part in self._parts(codes).T:
-            self.order.append(np.argsort(part, kind="stable"))
-            self.starts.append(np.searchsorted(part[self.order[-1]], np.arange(self.values + 1)))
-        value = np.arange(self.values)
-        self.apart = np.bitwise_count(value[:, None] ^ value[None])
 
-    @property
-    def width(self) -> int:
-        return self.index.bits // self.index.substrings
+def _keys(vectors: DataFrame, mean: np.ndarray, projection: np.ndarray, index: Index, near: int | None) -> DataFrame:
+    """(key, id): a row for each substring of each (id, v), or for each of its probes."""
+    change = masks(index.width, near or 0)
 
-    @property
-    def values(self) -> int:
-        return 1 << self.width
-
-    def _parts(self, codes: np.ndarray) -> np.ndarray:
-        bits = np.unpackbits(codes, axis=1, bitorder="little")[:, : self.width * self.index.substrings]
-        return bits.reshape(len(codes), self.index.substrings, self.width).astype(np.int64) @ (1 << np.arange(self.width))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row whose code is within the radius."""
-        near, hit = radius // self.index.substrings, np.zeros(len(self.codes), bool)
-        for s, value in enumerate(self._parts(code[None])[0]):
-            for v in np.flatnonzero(self.apart[value] <= near):
-                hit[self.order[s][self.starts[s][v] : self.starts[s][v + 1]]] = True
-        found = np.flatnonzero(hit)
-        return found[np.bitwise_count(self.codes[found] ^ code).sum(axis=1) <= radius]
-
-
-def search_block(qids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, mean: np.ndarray, projection: np.ndarray, k: int, index: Index) -> Iterator[tuple[int, int, float]]:
-    """(query_id, vec_id, distance) of the k best of a block for each query."""
-    tables = Tables(encode(rows, mean, projection), index)
-    for q, vector, code in zip(qids, queries, encode(queries, mean, projection), strict=True):
-        radius = index.radius
-        while True:
-            found = tables.within(code, radius)
-            found = found[ids[found] != q]
-            if len(found) >= k or radius >= index.bits:
-                break
-            radius = min(radius + index.substrings, index.bits)
-        far = np.sqrt(((rows[found] - vector) ** 2).sum(axis=1))
-        if len(found) > 4 * k:
-            some = np.flatnonzero(far <= np.partition(far, k - 1)[k - 1])
-            found, far = found[some], far[some]
-        for i in np.lexsort((ids[found], far))[:k]:
-            yield int(q), int(ids[found[i]]), float(far[i])
-
-
-def usable(rows: DataFrame, name: str, vector: str) -> DataFrame:
-    """(vec_id, v) of the rows that take part."""
-    few = unambiguous(rows, name, vector).toDF("vec_id", "v").withColumn("v", F.col("v").cast("array<double>"))
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column("id").to_numpy()
+        values = encode(_matrix(batch.column("v")), mean, projection, index) | (np.arange(index.substrings) << index.width)[None]
+        keys = values[:, :, None] ^ change[None, None]
+        return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(ids, keys[0].size))], ["key", "id"])
+
+    return by_arrow(vectors.select("id", "v"), work, "key long, id long", 64 if near else 512)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
+def entries(rows: DataFrame, name: str, vector: str, k: int) -> DataFrame:
+    """(id, v, ids, asked): one row for each different vector that takes part."""
+    few = unambiguous(rows, name, vector).toDF("vec_id", "v").select(F.col("vec_id").cast("long"), F.col("v").cast("array<double>"))
     sound = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce((F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False))) & F.exists("v", lambda x: x != 0)
-    good = table(few.where(sound).distinct(), "vectors")
+    good = few.where(sound).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
     top = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size("v") == (top["n"] if top else 0))
+    alike = good.where(F.size("v") == (top["n"] if top else 0)).distinct()
+    # the limit of a rank is applied before rows move, so a vector of many rows moves little
+    first = alike.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    return first.groupBy("v").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids")), alike
+
+
+def _best(block: dict[str, np.ndarray], k: int) -> Iterator[tuple[int, int, float]]:
+    """(query, vec_id, distance): of each query the k + 1 nearest ids among its candidates in a block."""
+    rows, queries = block["rows"], block["queries"]
+    order = np.argsort(block["q"], kind="stable")
+    q, r = block["q"][order], block["r"][order]
+    cuts = np.flatnonzero(np.diff(q)) + 1
+    for some in np.split(np.arange(len(q)), cuts) if len(q) else ():
+        at, found = q[some[0]], r[some]
+        far = np.sqrt(((rows[found] - queries[at]) ** 2).sum(axis=1))
+        if len(far) > k + 1:
+            near = np.flatnonzero(far <= np.partition(far, k)[k])
+            found, far = found[near], far[near]
+        ids = [(d, i) for d, x in zip(far.tolist(), found.tolist(), strict=True) for i in block["ids"][x]]
+        for d, i in sorted(ids)[: k + 1]:
+            yield int(block["names"][at]), i, d
+
+
+def _ranked(pairs: DataFrame | None, rows: DataFrame, asked: DataFrame, k: int, blocks: int) -> DataFrame:
+    """(query, vec_id, score): pairs (query, id) by exact distance; without pairs, all rows."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    if pairs is None:
+        spots = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    else:
+        pairs = pairs.withColumn("block", block("id"))
+        spots = pairs.select("block", F.col("query").alias("id")).distinct().join(asked, "id")
+    nothing = F.array().cast("array<long>")
+    sides = rows.select(block("id").alias("block"), F.lit(0).alias("side"), "id", F.lit(0).cast("long").alias("other"), "v", "ids")
+    sides = sides.union(spots.select("block", F.lit(1), "id", F.lit(0).cast("long"), "v", nothing))
+    if pairs is not None:
+        sides = sides.union(pairs.select("block", F.lit(2), F.col("query"), F.col("id"), F.array().cast("array<double>"), nothing))
+
+    whole = pairs is None
+
+    def work(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        part = [t.filter(pa.array(side == s)) for s in (0, 1, 2)]
+        found: list[tuple[int, int, float]] = []
+        if part[0].num_rows and part[1].num_rows:
+            ids, names = part[0].column("id").to_numpy(), part[1].column("id").to_numpy()
+            block = {"rows": _matrix(part[0].column("v").combine_chunks()), "queries": _matrix(part[1].column("v").combine_chunks()), "ids": part[0].column("ids").to_pylist(), "names": names}
+            if whole:
+                q, r = np.divmod(np.arange(len(ids) * len(names)), len(ids))
+            else:
+                by_name, by_id = np.argsort(names), np.argsort(ids)
+                q = by_name[np.searchsorted(names[by_name], part[2].column("id").to_numpy())]
+                r = by_id[np.searchsorted(ids[by_id], part[2].column("other").to_numpy())]
+            found = list(_best(block | {"q": q, "r": r}, k))
+        a, b, c = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"query": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+
+    return sides.groupBy("block").applyInArrow(work, "query long, vec_id long, score double")
 
 
 def search(embeddings: DataFrame, every: int = 100, k: int = 10, index: Index = Index(), name: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score)."""
     spark = embeddings.sparkSession
-    good = usable(embeddings, name, vector)
+    found, alike = entries(embeddings, name, vector, k)
+    rows = table(found, "vectors")
     # bounded by ``sample``: the least hashes
-    drawn = good.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(index.sample).select("v").collect()
+    drawn = rows.select("v", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(index.sample).select("v").collect()
     if not drawn:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], _RESULT)
     mean, projection = learn(np.array([r["v"] for r in drawn], np.float64), index)
-    n = good.agg(F.count("*").alias("n"), F.count_if(F.pmod("vec_id", F.lit(every)) == 0).alias("q")).first()
-    row_blocks, query_blocks = -(-n["n"] // index.row_block), max(1, -(-n["q"] // index.query_block))
-    # each row goes to its block beside every block of queries, and the other way round
-    deal = lambda h, many: F.pmod(F.xxhash64("vec_id", F.lit(h)), F.lit(many)).cast("int")
-    rows = good.select(deal("row", row_blocks).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), F.lit(0).alias("side"), "vec_id", "v")
-    asked = good.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"), deal("query", query_blocks).alias("qb"), F.lit(1).alias("side"), "vec_id", "v")
-
-    def work(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        ids = t.column("vec_id").to_numpy()
-        v = t.column("v").combine_chunks()
-        v = np.asarray(v.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(ids), -1)
-        got = list(search_block(ids[side == 1], v[side == 1], ids[side == 0], v[side == 0], mean, projection, k, index))
-        q, i, d = zip(*got, strict=True) if got else ((), (), ())
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(i, pa.int64()), "score": pa.array(d, pa.float64())})
-
-    best = rows.union(queries).groupBy("rb", "qb").applyInArrow(work, "query_id long, vec_id long, score double")
+    asking = alike.where(F.pmod("vec_id", F.lit(every)) == 0)
+    asking = table(asking.join(rows.select("v", "id"), "v").select(F.col("vec_id").alias("query_id"), "id"), "queries")
+    asked = table(rows.join(asking.select("id").distinct(), "id", "left_semi").select("id", "v"), "asked")
+    filed = table(_keys(rows, mean, projection, index, None), "index")
+    n = rows.agg(F.count("*")).first()
+    blocks, enough = max(1, -(-n[0] // index.row_block)), min(index.least, n[0])
+    found, left = [], asked
+    for near in range(index.near, index.widest + 1 if n[0] > index.least else index.near):
+        probes = _keys(left, mean, projection, index, near).withColumnRenamed("id", "query")
+        pairs = table(probes.join(filed.hint("merge"), "key").select("query", "id").distinct(), "candidates")
+        some = table(pairs.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= enough).select("query"), "settled")
+        asking_now = left.join(some.withColumnRenamed("query", "id"), "id", "left_semi")
+        found.append(table(_ranked(pairs.join(some, "query", "left_semi"), rows, asking_now, k, blocks), "nearest"))
+        left = table(left.join(some.withColumnRenamed("query", "id"), "id", "left_anti"), "left")
+        release(pairs)
+        if not left.head(1):
+            break
+    else:
+        found.append(_ranked(None, rows, left, k, blocks))
+    best = found[0]
+    for more in found[1:]:
+        best = best.union(more)
+    each = asking.join(best.withColumnRenamed("query", "id"), "id").where("vec_id <> query_id")
+    each = each.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op3(embeddings: DataFrame) -> DataFrame:
