@@ -103,7 +103,7 @@ _SENT, _SENT_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 def by_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = SLICE) -> DataFrame:
     """Map Arrow batches in slices of bounded row count and bytes, so that memory follows a slice. What
     Spark sends at once is bounded too, unless the session says otherwise."""
-    if df.sparkSession.conf.get(_SENT, "") == _SENT_DEFAULT:
+    if df.sparkSession.conf.get(_SENT) == _SENT_DEFAULT:
         df.sparkSession.conf.set(_SENT, "8m")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
