@@ -138,3 +138,27 @@ def test_queries_agree_with_sql(spark, name):
     rows = sorted(map(str, want.fetchall()))
     got = registry.QUERIES[name](spark, folder)
     assert sorted(str(tuple(r[n] for n in names)) for r in got.collect()) == rows and set(got.columns) == set(names)
+
+
+def test_files_stand_where_the_paths_say(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from textspan.functions import text
+    from textspan.sources import pages
+
+    rows = spark.createDataFrame([("Low Water", "en", "token", "ebb é"), ("Low Water", "fi", "dmp", "flood"), ("x", "en", "token", None)], "title string, lang string, method string, text string")
+    placed = rows.select(text.method_path(str(tmp_path), F.col("title"), F.col("lang"), F.col("method")).alias("path"), "text")
+    written = {r["path"]: r["chars"] for r in pages.write_files(placed).collect()}
+    assert len(written) == 2 and sorted(written.values()) == [5, 5]
+    at = tmp_path / "Low_Water" / "English" / "partial_benchmark_token_text.txt"
+    assert str(at) in written and at.read_text() == "ebb é" and [p.name for p in at.parent.iterdir()] == [at.name, f".{at.name}.crc"][:1]
+    assert pages.clear_method_files(spark, str(at.parent)) == 1 and not at.exists()
+
+
+def test_each_method_takes_its_own_rows(spark):
+    from textspan.operators import clean
+
+    rows = [(1, "Quay", "extracts", "The quay ( ) is old.[7]"), (2, "Pier", "html", "<p>Nets <b>dry</b> there.</p>"), (3, "Mole", "pdf", "x"), (4, None, "html", None)]
+    got = {r["id"]: (r["status"], r["text"]) for r in clean.by_method(spark.createDataFrame(rows, "id int, title string, method string, body string")).collect()}
+    assert got[1] == ("ok", "== Quay ==\n\nThe quay is old.") and got[2] == ("ok", "== Pier ==\n\nNets dry there.")
+    assert got[3] == ("error", None) and got[4] == ("ok", None)

@@ -375,6 +375,22 @@ def text_path(root: str, title: Column, lang: Column, method: str, mode: str) ->
     return F.concat_ws("/", folder(root, title, lang), F.concat(F.lower(safe_name(title)), F.lit(f"_{method}_{mode}.txt")))
 
 
+def with_method(path: Column, method: Column) -> Column:
+    """A path with the method before its ending; ``.txt`` where it has none."""
+    name, ending = r"^(.*/)?([^/]+?)(\.[^./]*)?$", F.regexp_extract(path, r"[^/](\.[^./]+)$", 1)
+    stem = F.concat(F.regexp_extract(path, name, 1), F.regexp_extract(path, name, 2))
+    return F.concat(stem, F.lit("_"), method, F.when(ending == "", ".txt").otherwise(ending))
+
+
+def runtime_label(base: Column, mode: Column, title: Column) -> Column:
+    """A timing's label, which names the page."""
+    return F.concat(base, F.lit(" ("), mode, F.lit(", "), title, F.lit(")"))
+
+
+def runtime_lines(label: Column, seconds: Column) -> Column:
+    return F.concat(label, F.lit(": "), F.format_number(seconds, "0.000"), F.lit(" seconds"))
+
+
 def method_path(root: str, title: Column, lang: Column, method: Column) -> Column:
     return F.concat_ws("/", folder(root, title, lang), F.concat(F.lit("partial_benchmark_"), method, F.lit("_text.txt")))
 

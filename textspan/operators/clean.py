@@ -87,6 +87,17 @@ def page(html: Column, mode: str = "remove") -> Column:
     return cleaned(html)
 
 
+def by_method(df: DataFrame, mode: str = "remove") -> DataFrame:
+    """df (title, method, body, and others) with the text that each row's method makes of its body under the
+    title's heading, and status: plain extracts and pages take a plan each, other methods are error rows."""
+    known = F.coalesce(F.col("method"), F.lit(""))
+    plain = extracts(df.where(known == "extracts").withColumn("text", F.col("body")), "text", "title", mode).withColumn("status", F.lit("ok"))
+    pages = df.where(known == "html").withColumn("text", page(F.col("body"), mode))
+    pages = pages.withColumn("text", text.with_topic(F.col("text"), F.col("title"))).withColumn("status", F.lit("ok"))
+    other = df.where(~known.isin("extracts", "html")).withColumn("text", F.lit(None).cast("string")).withColumn("status", F.lit("error"))
+    return plain.unionByName(pages).unionByName(other)
+
+
 def cited_page(html: Column, mode: str = "remove", markers: bool = True) -> Column:
     """Clean text with the rebuilt References section."""
 

@@ -29,14 +29,17 @@ def attempt(rows: DataFrame, method: str, mode: str = "latex", references: str =
     return rows.select("req_id", F.lit(method).alias("method"), got.alias("o")).select("req_id", "method", "o.*")
 
 
-def attempts(rows: DataFrame, order: tuple[str, ...] = fixed.FALLBACKS, **settings) -> DataFrame:
+def attempts(rows: DataFrame, order: tuple[str, ...] = fixed.FALLBACKS, made: list[DataFrame] | None = None, **settings) -> DataFrame:
     """(req_id, seq, method, outcome): each method is tried on the requests that all before it
-    failed; a method's outcomes are a table, since the next anti-join reads them too."""
-    tried, left = [], stored(rows, "prepared")
+    failed; a method's outcomes are a table, since the next anti-join reads them too. ``made`` gets the tables, for
+    a caller who drops them when the result is written."""
+    tried, left, made = [], stored(rows, "prepared"), [] if made is None else made
+    made.append(left)
     for seq, method in enumerate(order):
         now = attempt(left, method, **settings).withColumn("seq", F.lit(seq))
         if seq + 1 < len(order):
             now = stored(now, f"tried-{method}")
+            made.append(now)
             left = left.join(now.where("status = 'ok'").select("req_id"), "req_id", "left_anti")
         tried.append(now)
     return reduce(DataFrame.unionByName, tried)
@@ -51,9 +54,9 @@ def report(order: tuple[str, ...] = fixed.FALLBACKS) -> Column:
     return F.concat(head, lines, bodies)
 
 
-def best(rows: DataFrame, order: tuple[str, ...] = fixed.FALLBACKS, **settings) -> DataFrame:
+def best(rows: DataFrame, order: tuple[str, ...] = fixed.FALLBACKS, made: list[DataFrame] | None = None, **settings) -> DataFrame:
     """(req_id, status, method, text, start, end, report): the first method that places a request."""
-    tried = attempts(rows, order, **settings)
+    tried = attempts(rows, order, made, **settings)
     gathered = tried.groupBy("req_id").agg(F.sort_array(F.collect_list(F.struct("seq", "method", "status", "error", "text", "start", "end", "report"))).alias("attempts"))
     won = F.get(F.filter("attempts", lambda a: a["status"] == "ok"), F.lit(0))
     return gathered.select(

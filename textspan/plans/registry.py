@@ -235,6 +235,29 @@ def merged_runtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.merged_runtimes(entries)
 
 
+@query("runtime_labels", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'HTML parser runtime' ELSE 'Partial DMP runtime' END || ' (latex, ' || source || ')' AS label FROM documents")
+def runtime_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.when(F.col("doc_id") % 2 == 0, "HTML parser runtime").otherwise("Partial DMP runtime")
+    return documents(spark, sf_dir).select("doc_id", text.runtime_label(base, F.lit("latex"), F.col("source")).alias("label"))
+
+
+@query(
+    "method_paths",
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'out.d/' || source || '_html.md' ELSE 'out.d/' || source || '_html.txt' END AS path FROM documents",
+)
+def method_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.concat(F.lit("out.d/"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(""))
+    return documents(spark, sf_dir).select("doc_id", text.with_method(path, F.lit("html")).alias("path"))
+
+
+@query("extracted_pages")
+def extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as plain extracts and pages as pages, by one dispatch."""
+    docs = documents(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id")).alias("id"), F.concat(F.lit("Document "), F.col("doc_id")).alias("title"), F.lit("extracts").alias("method"), F.col("text").alias("body"))
+    rendered = html(spark, sf_dir).select(F.concat(F.lit("p"), F.col("page_id")).alias("id"), F.col("url").alias("title"), F.lit("html").alias("method"), F.col("html").alias("body"))
+    return clean.by_method(docs.union(rendered)).select("id", "method", "status", "text")
+
+
 @query(
     "cleaning_comparison",
     r"""WITH q AS (SELECT doc_id, text AS a, regexp_replace(text, '\n[^\n]*$', '') AS b FROM documents)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textspan.functions import text
+from textspan.sources.stored import stored
 
 HOST = "wikipedia.org"
 
@@ -58,6 +63,44 @@ def write_texts(results: DataFrame, folder: str) -> None:
     named.write.mode("overwrite").partitionBy("topic", "language").parquet(folder)
 
 
+def write_files(results: DataFrame) -> DataFrame:
+    """Write (path, text), one text file each, where the paths say: (path, chars) of the files. Tasks write
+    through Arrow's file systems; a file gets its name when it is complete, so a task that runs again
+    leaves the same. Null text writes no file. Of rows with equal paths one wins."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        for batch in batches:
+            done: list[tuple[str, int]] = []
+            for at, body in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if at is None or body is None:
+                    continue
+                store, place = fs.FileSystem.from_uri(at if ":" in at.split("/")[0] else f"file://{os.path.abspath(at)}")
+                above, _, name = place.rpartition("/")
+                store.create_dir(above, recursive=True)
+                draft = f"{above}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(body.encode("utf-8", "surrogatepass"))
+                store.move(draft, place)
+                done.append((at, len(body)))
+            yield pa.RecordBatch.from_pydict({"path": pa.array([d[0] for d in done], pa.string()), "chars": pa.array([d[1] for d in done], pa.int64())})
+
+    return stored(results.select("path", "text").mapInArrow(work, "path string, chars long"), "files")
+
+
+def clear_method_files(spark: SparkSession, folder: str) -> int:
+    """Delete the method texts of an earlier comparison in a folder; how many there were."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/partial_benchmark_*_text.txt")
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath() for f in store.globStatus(at) or []]
+    for path in found:
+        store.delete(path, False)
+    return len(found)
+
+
 def append_comparison(rows: DataFrame, folder: str) -> None:
     """Append comparison rows as CSV; a folder with another header is written anew."""
     spark = rows.sparkSession

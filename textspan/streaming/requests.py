@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from textspan.plans import best
+from textspan.sources.stored import dropped
 
 SCHEMA = "req_id long, html string, copied string"
 
@@ -25,6 +26,9 @@ def start(requests: DataFrame, sink: str, checkpoint: str, **settings) -> Stream
     replaces its own results."""
 
     def write(batch: DataFrame, number: int) -> None:
-        best.best(best.prepared(batch), **settings).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        made: list[DataFrame] = []
+        best.best(best.prepared(batch), made=made, **settings).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        for t in made:
+            dropped(t)
 
     return requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
