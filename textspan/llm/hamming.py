@@ -45,11 +45,11 @@ _RESULT = "query_id long, rank int, vec_id long, score double"
 class Index:
     """width: bits of a substring, 16 at most."""
 
-    substrings: int = 64
+    substrings: int = 80
     width: int = 16
     near: int = 2
     widest: int = 3
-    least: int = 1024
+    least: int = 2048
     #: Vectors that the axes and the rotation are learned from, at most.
     sample: int = 4096
     turns: int = 30
