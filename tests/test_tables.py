@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from textspan.functions import prose, text
+from textspan.functions import align, prose, text
 from textspan.operators import clean, match, segment
 from textspan.plans import best, registry
 from textspan.sources import pages
@@ -162,3 +162,16 @@ def test_each_method_takes_its_own_rows(spark):
     got = {r["id"]: (r["status"], r["text"]) for r in clean.by_method(spark.createDataFrame(rows, "id int, title string, method string, body string")).collect()}
     assert got[1] == ("ok", "== Quay ==\n\nThe quay is old.") and got[2] == ("ok", "== Pier ==\n\nNets dry there.")
     assert got[3] == ("error", None) and got[4] == ("ok", None)
+
+
+def test_anchor_scores_on_doubled_words(spark, tmp_path):
+    lines = ["In. Enor to to.", "By the the a it.", "Gekeitä in in.", "short", "A line that is long enough of itself"]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["doc_id"], r["ord"]): r["least"] for r in registry.QUERIES["anchor_scores"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = {(d, o): x for d, o, x in db.execute(registry.ORACLES["anchor_scores"]).fetchall()}
+    assert got == want and got[1, 1] == 0.92
+    # the matchers' own rule takes a doubled word once
+    rows = spark.createDataFrame([(x,) for x in lines], "x string")
+    assert [r["v"] for r in rows.select(text.least_score(F.col("x"), 0.92).alias("v")).collect()] == [align.least_score(x, 0.92) for x in lines]

@@ -157,9 +157,10 @@ def math_heavy(line: Column) -> Column:
     return (seen > 0) & heavy
 
 
-def comparable_plain(c: Column) -> Column:
-    """The comparable form of a text without formulas."""
-    c = F.regexp_replace(drop_citations(newlines(c)), r"(?U)\b([A-Za-z][A-Za-z0-9_]*)\s+\1\b", "$1")
+def comparable_plain(c: Column, doubled: bool = False) -> Column:
+    """The comparable form of a text without formulas. doubled: a word met twice in a row stays twice."""
+    c = drop_citations(newlines(c))
+    c = c if doubled else F.regexp_replace(c, r"(?U)\b([A-Za-z][A-Za-z0-9_]*)\s+\1\b", "$1")
     return F.trim(F.lower(F.regexp_replace(tighten(c), U + r"\s+", " ")))
 
 
@@ -274,10 +275,10 @@ def short(anchor: Column, limit: int = 180) -> Column:
     return F.when(F.length(s) <= limit, s).otherwise(F.concat(F.substring(s, 1, limit - 3), F.lit("...")))
 
 
-def least_score(plain: Column, threshold: float) -> Column:
-    """Score an anchor must have; ``plain`` holds no formula."""
+def least_score(plain: Column, threshold: float, doubled: bool = False) -> Column:
+    """Score an anchor must have; ``plain`` holds no formula. doubled: words met twice in a row count twice."""
     mathy = math_heavy(plain) | plain.contains("$") | (F.regexp_count(F.right(plain, F.lit(140)), F.lit(r"(?U)\b[A-Za-z]\b")) >= 5)
-    return F.when(F.length(comparable_plain(plain)) < 14, F.lit(max(threshold, 0.95))).when(mathy, F.lit(max(0.87, threshold - 0.05))).otherwise(F.lit(threshold))
+    return F.when(F.length(comparable_plain(plain, doubled)) < 14, F.lit(max(threshold, 0.95))).when(mathy, F.lit(max(0.87, threshold - 0.05))).otherwise(F.lit(threshold))
 
 
 # -- spans ---------------------------------------------------------------------------------------
