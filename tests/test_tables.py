@@ -175,3 +175,19 @@ def test_anchor_scores_on_doubled_words(spark, tmp_path):
     # the matchers' own rule takes a doubled word once
     rows = spark.createDataFrame([(x,) for x in lines], "x string")
     assert [r["v"] for r in rows.select(text.least_score(F.col("x"), 0.92).alias("v")).collect()] == [align.least_score(x, 0.92) for x in lines]
+
+
+def test_passages_keep_only_pairs_that_hold_enough(spark, monkeypatch):
+    """Documents that share the words of an item, but too few or too far apart, never get candidate windows."""
+    item = " ".join(f"word{i}" for i in range(40))
+    near = " ".join(f"word{i}" for i in range(40) if i % 8)
+    far = " ".join(f"word{i} " + "filler " * 30 for i in range(40))
+    texts = [f"ab {item} cd", f"ef {near} gh", far, *(f"word{i} word{i + 1} and more of it" for i in range(39))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows, keep = {}, match.stored
+    monkeypatch.setattr(match, "stored", lambda df, label: (lambda t: rows.update({label: t}) or t)(keep(df, label)))
+    got = sorted(r["doc_id"] for r in match.passages(docs, items).collect())
+    assert got == [0, 1]
+    assert {r["doc_id"] for r in rows["candidates"].collect()} == {0, 1}
+    assert {r["doc_id"] for r in rows["postings"].collect()} == {0, 1, 2}

@@ -70,7 +70,33 @@ def reaching(items: DataFrame, postings: DataFrame, least: float = 0.72) -> Data
     w = item.orderBy(F.coalesce("df", F.lit(0)), "value").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumn("before", F.sum("w").over(w) - F.col("w")).withColumn("whole", F.sum("w").over(item))
     telling = own.where(F.col("before") <= (1 - (least - 0.35) / 0.65 + 1e-6) * F.col("whole")).select("item_id", "value")
-    return postings.join(telling, "value").select("item_id", "doc_id").distinct()
+    return postings.join(F.broadcast(telling), "value").select("item_id", "doc_id").distinct()
+
+
+def meeting(items: DataFrame, counts: DataFrame, least: float = 0.72) -> DataFrame:
+    """(item_id, doc_id, enough): the pairs of ``reaching`` whose document holds enough of the item at all. A window has
+    no more of a word than its document, so the overlap with the whole document bounds that of all its
+    windows. counts: (doc_id, value, n). Items are few beside documents: their words go to every executor,
+    and a document's rows stay together from the join by doc_id on."""
+    need = items.groupBy("item_id", "value").agg(F.count("*").alias("a")).withColumn("w", text.weight(F.col("value"), F.lit(1)))
+    # words that the document does not have weigh as if they were there once
+    whole = need.groupBy("item_id").agg(F.sum(F.col("a") * F.col("w")).alias("whole"))
+    met = reaching(items, counts, least).join(counts, "doc_id").join(F.broadcast(need), ["item_id", "value"])
+    own = F.col("w") / F.sqrt(F.col("n").cast("double"))
+    got = met.groupBy("doc_id", "item_id").agg(F.sum(F.least("a", "n") * own).alias("shared"), F.sum(F.col("a") * (F.col("w") - own)).alias("lighter"))
+    enough = ((least - 0.35) / 0.65 - 1e-6) * (F.col("whole") - F.col("lighter"))
+    return got.join(F.broadcast(whole), "item_id").withColumn("enough", enough).where("shared >= enough").select("item_id", "doc_id", "enough")
+
+
+def gathered(items: DataFrame, postings: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(item_id, doc_id): the pairs of ``meeting`` with enough weight within the item's length somewhere. All that
+    a window shares lies between its first shared word and an item's length behind that."""
+    need = items.groupBy("item_id", "value").agg(F.count("*").alias("a")).select("item_id", "value", text.weight(F.col("value"), F.lit(1)).alias("w"))
+    need = need.join(items.groupBy("item_id").agg(F.count("*").alias("long")), "item_id")
+    met = pairs.join(postings, "doc_id").join(F.broadcast(need), ["item_id", "value"])
+    at = met.select("item_id", "doc_id", "enough", (F.col("w") / F.sqrt(F.col("n").cast("double"))).alias("w"), "long", F.explode("positions").alias("p"))
+    ahead = Window.partitionBy("item_id", "doc_id").orderBy(F.col("p") / F.col("long")).rangeBetween(0, 1)
+    return at.withColumn("held", F.sum("w").over(ahead)).where("held >= enough").select("item_id", "doc_id").distinct()
 
 
 def candidates(items: DataFrame, postings: DataFrame, sizes: DataFrame, pairs: DataFrame, most: int = CANDIDATES) -> DataFrame:
@@ -90,9 +116,14 @@ def candidates(items: DataFrame, postings: DataFrame, sizes: DataFrame, pairs: D
     return counted.withColumn("order", order).where(F.col("order") <= most).select("item_id", "doc_id", "start", "votes", "order")
 
 
+def _cut(body: Column) -> Column:
+    """The ASCII words of a text outside citations as an array, in their own case."""
+    return F.regexp_extract_all(segment._masked(body), F.lit("[A-Za-z0-9]+"), F.lit(0))
+
+
 def _values(body: Column) -> Column:
     """The tokens of a text as an array."""
-    return F.transform(F.regexp_extract_all(segment._masked(body), F.lit("[A-Za-z0-9]+"), F.lit(0)), lambda v: F.lower(v))
+    return F.transform(_cut(body), lambda v: F.lower(v))
 
 
 def scored(found: DataFrame, items: DataFrame, postings: DataFrame, docs: DataFrame, least: float = 0.72) -> DataFrame:
@@ -108,7 +139,7 @@ def scored(found: DataFrame, items: DataFrame, postings: DataFrame, docs: DataFr
     both = found.join(parts, ["item_id", "doc_id"]).join(anchor, "item_id").withColumn("stop", F.col("start") + F.size("anchor"))
     inside = lambda p: F.size(F.filter(p["positions"], lambda x: (x >= F.col("start")) & (x < F.col("stop"))))
     shared = F.aggregate("parts", F.lit(0.0), lambda s, p: s + F.least(p["a"], inside(p)) * p["w"])
-    near = both.withColumn("overlap", shared / F.col("whole")).where(F.col("overlap") >= (least - 0.35) / 0.65 - 1e-9).drop("parts")
+    near = stored(both.withColumn("overlap", shared / F.col("whole")).where(F.col("overlap") >= (least - 0.35) / 0.65 - 1e-9).drop("parts"), "windows")
     texts = docs.join(near.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _values(F.col("text")).alias("values"))
     cut = near.join(texts, "doc_id").withColumn("window", F.slice("values", F.col("start") + 1, F.size("anchor")))
     out = cut.withColumn("ordered", text.in_order(F.col("anchor"), F.col("window"))).withColumn("score", F.lit(0.65) * F.col("overlap") + F.lit(0.35) * F.col("ordered"))
@@ -116,7 +147,8 @@ def scored(found: DataFrame, items: DataFrame, postings: DataFrame, docs: DataFr
 
 
 def best(found: DataFrame) -> DataFrame:
-    w = Window.partitionBy("item_id", "doc_id").orderBy(F.desc("score"), F.desc("ordered"), "start")
+    # sums differ in their last bits by the order of their rows, so scores are compared rounded
+    w = Window.partitionBy("item_id", "doc_id").orderBy(F.desc(F.round("score", 9)), F.desc("ordered"), "start")
     return found.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
@@ -128,13 +160,17 @@ def passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, least: flo
     sizes = Window.partitionBy("item_id", "chunk")
     spread = spread.withColumn("held", F.count("*").over(sizes)).where("chunk = 0 or held >= 8")
     mine = spread.select(F.struct("item_id", "chunk").alias("item_id"), (F.col("pos") % window).alias("apos"), "value")
-    # only documents' words that some item has are exploded, once: all that follows reads their table
+    # words are counted first; places are kept only of documents that hold enough of some item
     wanted = mine.select("value").distinct()
-    each = docs.select("doc_id", _values(F.col("text")).alias("values")).select("doc_id", F.size("values").alias("size"), F.posexplode("values").alias("pos", "value"))
-    found = each.join(wanted, "value", "left_semi").groupBy("doc_id", "value", "size").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    each = docs.select("doc_id", F.explode(_cut(F.col("text"))).alias("value")).select("doc_id", F.lower("value").alias("value"))
+    counts = stored(each.join(F.broadcast(wanted), "value", "left_semi").groupBy("doc_id", "value").agg(F.count("*").alias("n")), "counts")
+    met = stored(meeting(mine, counts, least), "pairs")
+    near = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi")
+    each = near.select("doc_id", _cut(F.col("text")).alias("values")).select("doc_id", F.size("values").alias("size"), F.posexplode("values").alias("pos", "value"))
+    found = each.withColumn("value", F.lower("value")).join(F.broadcast(wanted), "value", "left_semi").groupBy("doc_id", "value", "size").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("positions"))
     found = stored(found, "postings")
     sizes = found.select("doc_id", "size").distinct()
-    some = stored(candidates(mine, found.drop("size"), sizes, reaching(mine, found, least)), "candidates")
+    some = stored(candidates(mine, found.drop("size"), sizes, gathered(mine, found, met)), "candidates")
     placed = best(scored(some, mine, found.drop("size"), docs, least)).withColumn("chunk", F.col("item_id.chunk")).withColumn("item_id", F.col("item_id.item_id"))
     first = Window.partitionBy("item_id", "doc_id").orderBy("chunk")
     return placed.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "chunk")
