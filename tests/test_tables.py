@@ -3,6 +3,7 @@
 import json
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,14 @@ def test_passages_keep_only_pairs_that_hold_enough(spark, monkeypatch):
     assert got == [0, 1]
     assert {r["doc_id"] for r in rows["candidates"].collect()} == {0, 1}
     assert {r["doc_id"] for r in rows["postings"].collect()} == {0, 1, 2}
+
+
+def test_offsets_come_in_runs(spark):
+    """No batch of answers holds the offsets of many long texts, whatever number of rows Spark sends."""
+    texts = ["Ab  c" * 1000, None, "", "x" * 5000, "É ß"]
+    sizes = [len(r) for r in clean.runs(pd.Series(texts), 4000)]
+    assert sum(sizes) == len(texts) and len(sizes) > 1 and list(clean.runs(pd.Series([], dtype="object"))) == []
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(1)
+    for column, rule in ((clean.folded, prose.folded), (clean.diff_form, lambda t: prose.folded(t, tight=True))):
+        got = {r["i"]: (r["v"]["text"], r["v"]["places"]) for r in rows.select("i", column("t").alias("v")).collect()}
+        assert got == {i: (None, None) if t is None else rule(t) for i, t in enumerate(texts)}

@@ -7,8 +7,11 @@ gets null for all others, so that no other text crosses over.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textspan.functions import fixed, markup, prose, text
@@ -19,6 +22,43 @@ def arrow(ddl: str):
     return lambda f: lambda *columns: F.pandas_udf(f, ddl)(*columns)
 
 
+#: Characters of texts that are answered together where every character has an answer of its own.
+TOGETHER = 1 << 20
+#: Bytes of an Arrow batch that Spark sends to a worker, and what it is where nobody has set it.
+_SENT, _SENT_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def runs(texts: pd.Series, most: int = TOGETHER) -> Iterator[pd.Series]:
+    """A batch in runs of about ``most`` characters; a longer text is a run of its own."""
+    before = texts.str.len().fillna(0).astype("int64").cumsum() // most if len(texts) else texts
+    for _, run in texts.groupby(before.to_numpy(), sort=False):
+        yield run
+
+
+def placed(rule: Callable[[str], tuple[str, list[int]]]):
+    """An Arrow function from texts to texts with the offset of each character. Offsets are 32-bit numbers
+    from the start on, and no more of them are held than those of a run of texts."""
+
+    def answers(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for run in runs(batch):
+                found = [(None, None) if t is None else ((got := rule(t))[0], np.array(got[1], dtype="int32")) for t in run]
+                yield pd.DataFrame(found, columns=["text", "places"])
+
+    def column(c: Column | str) -> Column:
+        spark = SparkSession.active()
+        if spark.conf.get(_SENT) == _SENT_DEFAULT:
+            spark.conf.set(_SENT, "8m")
+
+        @F.pandas_udf("text string, places array<int>")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            return answers(batches)
+
+        return run(c)
+
+    return column
+
+
 def needs_fold(c: Column, mode: str) -> Column:
     """Whether a text may need a fold: cheap tests of the whole text, which may say yes too often."""
     titles = "|".join(sorted(fixed.DROPPED_TITLES | fixed.NOTE_TITLES))
@@ -124,23 +164,12 @@ def reference_entries(items: Column) -> Column:
     return F.map_from_arrays(F.transform(items, lambda x, i: (i + 1).cast("string")), items)
 
 
-@arrow("text string, places array<int>")
-def visible(pages: pd.Series) -> pd.DataFrame:
-    """Raw-visible text and the page offset of each of its characters."""
-    return pd.DataFrame([(None, None) if h is None else markup.visible(h) for h in pages], columns=["text", "places"])
-
-
-@arrow("text string, places array<int>")
-def folded(texts: pd.Series) -> pd.DataFrame:
-    """Case and blanks folded, with offsets."""
-    return pd.DataFrame([(None, None) if t is None else prose.folded(t) for t in texts], columns=["text", "places"])
-
-
-@arrow("text string, places array<int>")
-def diff_form(texts: pd.Series) -> pd.DataFrame:
-    """As ``folded``, without citations and blanks before punctuation."""
-    one = lambda t: prose.folded(t, [m.span() for m in prose.CITATION.finditer(t)], tight=True)
-    return pd.DataFrame([(None, None) if t is None else one(t) for t in texts], columns=["text", "places"])
+#: Raw-visible text and the page offset of each of its characters.
+visible = placed(markup.visible)
+#: Case and blanks folded, with offsets.
+folded = placed(prose.folded)
+#: As ``folded``, without citations and blanks before punctuation.
+diff_form = placed(lambda t: prose.folded(t, [m.span() for m in prose.CITATION.finditer(t)], tight=True))
 
 
 @arrow("array<struct<text: string, start: int, end: int>>")
