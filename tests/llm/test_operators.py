@@ -515,3 +515,25 @@ def test_queries_agree_with_sql(spark, name):
     want = con.execute(queries.ORACLES[name])
     names = [c[0] for c in want.description]
     assert sorted(str(tuple(r[n] for n in names)) for r in queries.QUERIES[name](spark, folder).collect()) == sorted(map(str, want.fetchall()))
+
+
+def test_pairs_of_a_block_are_read_batch_by_batch(spark):
+    """However many pairs a block has, a worker holds its vectors and one batch of them."""
+    v = np.random.default_rng(8).normal(size=(300, 6))
+    rows = spark.createDataFrame([(i, x, [i]) for i, x in enumerate(v.tolist())], "id long, v array<double>, ids array<long>")
+    asked = rows.where("id % 3 = 0").select("id", "v")
+    pairs = asked.select(F.col("id").alias("query")).crossJoin(rows.select("id"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        for some in (pairs, None):
+            ranked = hamming._ranked(some, rows, asked, 4, 3)
+            assert "FlatMapGroups" not in ranked._jdf.queryExecution().toString()
+            got: dict[int, list] = {}
+            for r in ranked.collect():
+                got.setdefault(r["query"], []).append((r["score"], r["vec_id"]))
+            for q in range(0, 300, 3):
+                far = np.sqrt(((v - v[q]) ** 2).sum(axis=1))
+                assert sorted(got[q])[:5] == sorted(zip(far.tolist(), range(300), strict=True))[:5]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -15,7 +15,8 @@ compared with all rows.
 
 Equal vectors are one entry, with the k + 1 smallest of their vec_ids, which is all that k neighbours
 can need; equal queries are one search. Each vector moves once, to its block of rows; queries go to the blocks
-where they have candidates; a task holds one block and returns k + 1 rows for a query.
+where they have candidates; a task holds a block's rows and queries, reads its pairs batch by batch, and
+returns at most k + 1 rows for a query of each batch.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, as queries or as
 candidates; nor do rows with a null vec_id, or vectors of another length than most, from which no
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from textspan.llm.common import by_arrow, release, table, unambiguous
 
 _RESULT = "query_id long, rank int, vec_id long, score double"
+#: Queries that are compared with all rows of a block at once.
+TOGETHER = 64
 
 
 @dataclass(frozen=True)
@@ -158,24 +161,50 @@ def _ranked(pairs: DataFrame | None, rows: DataFrame, asked: DataFrame, k: int,
 
     whole = pairs is None
 
-    def work(t: pa.Table) -> pa.Table:
-        side = t.column("side").to_numpy()
-        part = [t.filter(pa.array(side == s)) for s in (0, 1, 2)]
-        found: list[tuple[int, int, float]] = []
-        if part[0].num_rows and part[1].num_rows:
-            ids, names = part[0].column("id").to_numpy(), part[1].column("id").to_numpy()
-            block = {"rows": _matrix(part[0].column("v").combine_chunks()), "queries": _matrix(part[1].column("v").combine_chunks()), "ids": part[0].column("ids").to_pylist(), "names": names}
-            if whole:
-                q, r = np.divmod(np.arange(len(ids) * len(names)), len(ids))
-            else:
-                by_name, by_id = np.argsort(names), np.argsort(ids)
-                q = by_name[np.searchsorted(names[by_name], part[2].column("id").to_numpy())]
-                r = by_id[np.searchsorted(ids[by_id], part[2].column("other").to_numpy())]
-            found = list(_best(block | {"q": q, "r": r}, k))
+    def answer(held: tuple[dict, dict], names: np.ndarray | None, others: np.ndarray | None) -> pa.RecordBatch:
+        rows, asked = held
+        ids, called = rows["id"], asked["id"]
+        if whole:
+            q, r = np.divmod(np.arange(len(ids) * len(called)), len(ids))
+        else:
+            by_name, by_id = np.argsort(called), np.argsort(ids)
+            q = by_name[np.searchsorted(called[by_name], names)]
+            r = by_id[np.searchsorted(ids[by_id], others)]
+        found = list(_best({"rows": rows["v"], "queries": asked["v"], "ids": rows["ids"], "names": called, "q": q, "r": r}, k))
         a, b, c = zip(*found, strict=True) if found else ((), (), ())
-        return pa.table({"query": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    return sides.groupBy("block").applyInArrow(work, "query long, vec_id long, score double")
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query", "vec_id", "score"])
+
+    def side(parts: list[pa.RecordBatch]) -> dict:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        v = t.column("v").combine_chunks()
+        return {"id": t.column("id").to_numpy(), "v": _matrix(v), "ids": t.column("ids").to_pylist()}
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, held = None, ([], []), None
+        for batch in batches:
+            kinds = np.stack([batch.column("block").to_numpy(), batch.column("side").to_numpy()])
+            cuts = [0, *(np.flatnonzero((np.diff(kinds) != 0).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                block_of, kind = kinds[:, lo].tolist()
+                if block_of != at:
+                    at, parts, held = block_of, ([], []), None
+                some = batch.slice(lo, hi - lo)
+                if kind == 0 or not whole and kind == 1:
+                    parts[kind].append(some)
+                elif parts[0]:
+                    if held is None:
+                        held = side(parts[0]), None if whole else side(parts[1])
+                    if not whole:
+                        yield answer(held, some.column("id").to_numpy(), some.column("other").to_numpy())
+                        continue
+                    for i in range(0, some.num_rows, TOGETHER):
+                        yield answer((held[0], side([some.slice(i, TOGETHER)])), None, None)
+
+    # rows come before queries, and queries before pairs
+    dealt = sides.repartition("block").sortWithinPartitions("block", "side", "id")
+    return dealt.mapInArrow(work, "query long, vec_id long, score double")
 
 
 def search(embeddings: DataFrame, every: int = 100, k: int = 10, index: Index = Index(), name: str = "vec_id", vector: str = "embedding") -> DataFrame:
