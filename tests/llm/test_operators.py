@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -537,3 +538,16 @@ def test_pairs_of_a_block_are_read_batch_by_batch(spark):
                 assert sorted(got[q])[:5] == sorted(zip(far.tolist(), range(300), strict=True))[:5]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_words_stay_known_over_slices():
+    """Words of two slices, more than 80 000, are not encoded again when they come back."""
+    import public_tokenizers
+
+    held, letters = tokenfile.Words(public_tokenizers.path("word_bpe_49k.json")), "abcdefghij"
+    word = lambda i: "".join(letters[int(d)] for d in str(i))
+    slices = [pa.array([" ".join(word(i) for i in range(low, low + 50_000))]) for low in (100_000, 200_000)]
+    first = [held.encode(s) for s in slices]
+    known = dict(held.known)
+    assert [held.encode(s) for s in slices] == first
+    assert all(held.known[w] is ids for w, ids in known.items())

@@ -39,7 +39,7 @@ SHARD_BYTES = 16 << 20
 #: Texts whose words are made distinct together.
 TOGETHER = 1024
 #: Bare words whose ids a worker keeps, about.
-KEPT = 80_000
+KEPT = 320_000
 RECORD = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("named", "<u8")])
 
 
