@@ -4,7 +4,8 @@ Candidates come from two indexes over different texts. One files SimHash fingerp
 one-wildcard segment variants (``simhash.variants``); it finds the closest texts cheaply. The other
 is an exact prefix join: of two sets with similarity s, both hold a common shingle among their first
 |x| - ceil(s |x|) + 1 in any one order, so it finds every pair (seldom shingles first, by a sample
-that only moves work). Every link is checked on the shingles of the two texts; none is an estimate.
+that only moves work; it is a fixed share of the texts, so that the keys of the others stay small
+however many texts there are). Every link is checked on the shingles of the two texts; none is an estimate.
 
 1. Within a key each text meets the key's most typical text and its neighbour in order: a number of
    pairs in proportion to the rows. Pairs that pass join components.
@@ -12,7 +13,8 @@ that only moves work). Every link is checked on the shingles of the two texts; n
    list their pairs across components. Texts of larger open keys form families (components of texts
    that share such a key); a family is cut into blocks of bounded size, and each pair of blocks is a
    task that counts all common shingles of its texts and returns a forest of links. A family of n
-   texts sends each text's shingles n / block times; no other step grows faster than its input.
+   texts sends each text's shingles n / block times, in rounds that bound what is on disk at once; no
+   other step grows faster than its input.
 
 So two texts at the similarity always end in one group, however large it is.
 
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,10 @@ from textspan.llm.common import by_arrow, release, table, unambiguous
 TOGETHER = 64
 #: Rows, and shingles, of a block of a family.
 BLOCK, BLOCK_SHINGLES = 512, 150_000
+#: Shingles that the families of a round send to their blocks, and how often a round sends those of all texts, at least.
+ROUND_SHINGLES, ROUND_TIMES = 250_000_000, 4
+#: One in so many texts is in the sample of shingles, at least.
+SAMPLED = 4
 _KEYED = "key long, node long, at int, size int, central int"
 
 
@@ -51,11 +58,13 @@ def _mark() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def frequent(docs: DataFrame, near: simhash.Near, sample: int = 20_000, most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def frequent(docs: DataFrame, near: simhash.Near, sample: int = 20_000, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
     """Hashes in rising order, and how often a sample of texts holds each: they come last in the order
-    of the prefix join. Which ones are known moves work, not results."""
+    of the prefix join. Which ones are known moves work, not results. The sample is one text in
+    SAMPLED, or as many more as come to ``sample``: in one of fixed size, the shingle that goes unseen
+    would be the commoner the more texts there are, and the pairs of its key would grow with their square."""
     rows = _texts(docs).withColumn("h", _mark())
-    step = max(1, rows.count() // sample)
+    step = max(1, min(SAMPLED, rows.count() // sample))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [np.unique(simhash.hashes(t, near)) for t in batch.column("text").to_pylist()]
@@ -63,8 +72,8 @@ def frequent(docs: DataFrame, near: simhash.Near, sample: int = 20_000, most: in
 
     some = rows.where(F.pmod("h", F.lit(step)) == 0).dropDuplicates(["h"]).select("text")
     counted = by_arrow(some, work, "hash long").groupBy("hash").count()
-    top = counted.where(F.col("count") > 1).orderBy(F.desc("count"), "hash").limit(most).collect()
-    hot, counts = np.array([r["hash"] for r in top], np.int64).view(np.uint64), np.array([r["count"] for r in top], np.int64)
+    top = counted.where(F.col("count") > 1).orderBy(F.desc("count"), "hash").limit(most).toArrow()
+    hot, counts = top.column("hash").to_numpy().view(np.uint64), top.column("count").to_numpy()
     at = np.argsort(hot)
     return hot[at], counts[at]
 
@@ -326,13 +335,17 @@ def linked(ids: np.ndarray, roots: np.ndarray, side: np.ndarray, hashes: list[np
     return out
 
 
-def _families(hot: DataFrame, sets: DataFrame, near: simhash.Near) -> DataFrame:
-    """(a, b): links between roots of texts of larger keys. hot: (key, node, size, root)."""
+def _families(hot: DataFrame, sets: DataFrame, near: simhash.Near) -> list[DataFrame]:
+    """(a, b): links between roots of texts of larger keys, a table for each round. hot: (key, node, size, root)."""
     least = hot.groupBy("key").agg(F.min("node").alias("a"))
     edges = hot.join(least, "key").select("a", F.col("node").alias("b")).where("a <> b").distinct()
     family = simhash.components(edges, "families").toDF("node", "family")
     members = table(hot.select("node", "size", "root").distinct().join(family, "node"), "members")
-    parts = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    parts = members.groupBy("family").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts"), F.sum("size").alias("shingles")
+    )
+    sent, once = parts.agg(F.sum(F.col("shingles") * F.col("parts")), F.sum("shingles")).first()
+    rounds = math.ceil((sent or 0) / max(ROUND_SHINGLES, ROUND_TIMES * (once or 0)))
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     dealt = members.join(parts, "family").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select(
@@ -346,7 +359,11 @@ def _families(hot: DataFrame, sets: DataFrame, near: simhash.Near) -> DataFrame:
         a, b = zip(*found, strict=True) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.join(sets.hint("merge"), "node").groupBy("family", "i", "j").applyInArrow(work, "a long, b long")
+    found = []
+    for k in range(rounds):  # a table's end lets its round's shuffle files go
+        some = dealt.where(F.pmod(F.xxhash64("family", "i", "j"), F.lit(rounds)) == k) if rounds > 1 else dealt
+        found.append(table(some.join(sets.hint("merge"), "node").groupBy("family", "i", "j").applyInArrow(work, "a long, b long"), "family-links"))
+    return found
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -390,8 +407,8 @@ def groups(docs: DataFrame, near: simhash.Near = simhash.SIMILAR) -> DataFrame:
     more = table(_alike(listed, sets_of_all, near).toDF("a", "b"), "more-links")
     new = [_rooted(_rooted(more.toDF("node", "b"), roots).select("root", F.col("b").alias("node")).withColumnRenamed("root", "a"), roots).select("a", F.col("root").alias("b"))]
     if hot.head(1):
-        new.append(table(_families(hot.select("key", "node", "size", "root"), sets_of_all, near), "family-links"))
-    between = new[0] if len(new) == 1 else new[0].union(new[1])
+        new += _families(hot.select("key", "node", "size", "root"), sets_of_all, near)
+    between = reduce(DataFrame.union, new)
     between = table(between.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "between")
     final = table(_rooted(_rooted(nodes.select("node", "digest", "least"), roots).withColumnRenamed("node", "text").withColumnRenamed("root", "node"), simhash.components(between)), "rooted")
     release(sets, others, wanted, listed, pairs, links, opened, more, roots, *new[1:])
